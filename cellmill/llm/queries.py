@@ -20,6 +20,13 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellmill.llm.warc import read_warc, write_warc
+
+    chunks = read_warc(write_warc(table(spark, sf_dir, "pages")), payload=False)
+    return chunks.where("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cellmill.llm.bpe_table import bpe_encode
 
@@ -46,9 +53,16 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(table(spark, sf_dir, "documents"), *_vocabulary("byte_bpe_50k.json"), capacity=2048, end_id=0), 2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op6_bpe_roundtrip, op7_token_files, op9_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op6_bpe_roundtrip, op7_token_files, op9_best_fit_packing)}
 
 ORACLE_SQL = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+             f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+        FROM f""",
     "op1_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256

@@ -39,7 +39,7 @@ class ShardWriter:
         context = TaskContext.get()
         self.name = f"{base}/shard-{shard:06d}.tok"
         self.partial = f"{base}/_{shard:06d}-{context.taskAttemptId() if context else os.getpid()}"
-        self.out = self.fs.open_output_stream(self.partial)
+        self.out = self.fs.open_output_stream(self.partial, compression=None)
         self.kind, self.nulls = "<u4" if wide else "<u2", 0
         self.ends, self.ids, self.n = [0], [], 0
 
