@@ -27,6 +27,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.where("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellmill.llm.quality import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cellmill.llm.bpe_table import bpe_encode
 
@@ -53,7 +59,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(table(spark, sf_dir, "documents"), *_vocabulary("byte_bpe_50k.json"), capacity=2048, end_id=0), 2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op6_bpe_roundtrip, op7_token_files, op9_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_quality_rules, op6_bpe_roundtrip, op7_token_files, op9_best_fit_packing)}
 
 ORACLE_SQL = {
     "op2_warc": """
