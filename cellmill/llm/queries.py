@@ -59,7 +59,14 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(table(spark, sf_dir, "documents"), *_vocabulary("byte_bpe_50k.json"), capacity=2048, end_id=0), 2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_quality_rules, op6_bpe_roundtrip, op7_token_files, op9_best_fit_packing)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellmill.llm.langid import predict_lang, train_langid
+
+    docs = table(spark, sf_dir, "documents")
+    return predict_lang(docs, train_langid(docs))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_quality_rules, op6_bpe_roundtrip, op7_token_files, op9_best_fit_packing, op10_language_id)}
 
 ORACLE_SQL = {
     "op2_warc": """
