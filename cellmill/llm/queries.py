@@ -33,6 +33,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellmill.llm.licenses import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cellmill.llm.bpe_table import bpe_encode
 
@@ -66,7 +72,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_lang(docs, train_langid(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_quality_rules, op6_bpe_roundtrip, op7_token_files, op9_best_fit_packing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_quality_rules, op4_license_scan, op6_bpe_roundtrip, op7_token_files, op9_best_fit_packing, op10_language_id)}
 
 ORACLE_SQL = {
     "op2_warc": """
