@@ -39,6 +39,12 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellmill.llm.minhash import MinHashParams, near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), p=MinHashParams(words=3, similar=85))
+
+
 def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cellmill.llm.bpe_table import bpe_encode
 
@@ -72,7 +78,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_lang(docs, train_langid(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_quality_rules, op4_license_scan, op6_bpe_roundtrip, op7_token_files, op9_best_fit_packing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_quality_rules, op4_license_scan, op5_minhash, op6_bpe_roundtrip, op7_token_files, op9_best_fit_packing, op10_language_id)}
 
 ORACLE_SQL = {
     "op2_warc": """
