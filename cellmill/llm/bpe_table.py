@@ -19,7 +19,7 @@ def _lists(parts: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
 
-def _few(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+def _few(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
     for i in range(0, batch.num_rows, rows):
         yield batch.slice(i, rows)
 
@@ -41,7 +41,7 @@ def bpe_encode(
         for whole in rows:
             for batch in _few(whole):
                 texts = batch.column(1).to_pylist()
-                ids = [c.encode(t) for t in texts]
+                ids = c.encode_batch(texts)
                 out = [batch.column(0), _lists(ids)]
                 if offsets:
                     at = [c.offsets(t, i).astype("<u4") for t, i in zip(texts, ids, strict=True)]

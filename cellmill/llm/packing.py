@@ -195,8 +195,8 @@ def token_pieces(
         for batch in rows:
             for at in range(0, batch.num_rows, 512):
                 some, row, piece, start, length, crc, rank = batch.slice(at, 512), [], [], [], [], [], []
-                for i in range(some.num_rows):
-                    ids = c.encode(some.column(1)[i].as_py()) + end
+                for i, ids in enumerate(c.encode_batch(some.column(1).to_pylist())):
+                    ids += end
                     n = len(ids) // 4
                     edges = [0, *range(n - (n - 1) // capacity * capacity, n + 1, capacity)]
                     for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):

@@ -115,11 +115,11 @@ def write_tokens(
     def write(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, out, shard = codec(path, pattern), None, TaskContext.get().partitionId()
         for batch in rows:
-            ids = batch.column(0)
-            for i in range(batch.num_rows):
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
                 out = out or ShardWriter(folder, shard, wide)
-                got = np.frombuffer(c.encode(batch.column(1)[i].as_py()), "<u4")
-                out.add(ids[i].as_py(), np.append(got, np.uint32(end_id)))
+                for doc_id, ids in zip(some.column(0).to_pylist(), c.encode_batch(some.column(1).to_pylist()), strict=True):
+                    out.add(doc_id, np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id)))
         if out:
             n = out.close()
             yield pa.RecordBatch.from_arrays(
