@@ -65,6 +65,15 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellmill.llm.suffixes import repeated_bytes
+
+    length = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
+    return repeated_bytes(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", length.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cellmill.llm.packing import pack, token_pieces
 
@@ -78,7 +87,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_lang(docs, train_langid(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_quality_rules, op4_license_scan, op5_minhash, op6_bpe_roundtrip, op7_token_files, op9_best_fit_packing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_quality_rules, op4_license_scan, op5_minhash, op6_bpe_roundtrip, op7_token_files, op8_repeated_bytes, op9_best_fit_packing, op10_language_id)}
 
 ORACLE_SQL = {
     "op2_warc": """
