@@ -354,7 +354,7 @@ def _send_windows(p: RepeatParams, buckets: int, homes: int):
     return send
 
 
-def _cut(p: RepeatParams, id_col: str):
+def _cut(p: RepeatParams, id_col: str, carry: list[str], whole: bool):
     def cut(docs: pa.Table, answers: pa.Table) -> pa.Table:
         told = _Told(answers.column("blob").to_pylist())
         ids, raws = _docs(docs)
@@ -375,6 +375,9 @@ def _cut(p: RepeatParams, id_col: str):
                 np.add.at(edge, starts[gone], 1)
                 np.add.at(edge, starts[gone] + p.depth, -1)
             covered = np.cumsum(edge[:-1]) > 0
+            if whole and len(covered):
+                begins = np.flatnonzero((block.raw & 0xC0) != 0x80)
+                covered = np.repeat(np.logical_and.reduceat(covered, begins), np.diff(np.append(begins, len(covered))))
             for k in range(b - a):
                 lo, hi = int(block.at[k]), int(block.at[k + 1])
                 own = covered[lo:hi]
@@ -387,7 +390,8 @@ def _cut(p: RepeatParams, id_col: str):
                 kept.append(block.raw[lo:hi][~own].tobytes())
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         size = pa.array([len(r) for r in raws], pa.int64())
-        return pa.Table.from_arrays([docs.column("_id"), size, pa.array(spans, kind), pa.array(kept, pa.binary())], [id_col, "n_bytes", "spans", "kept"])
+        rest = [docs.column(f"_carry{k}") for k in range(len(carry))]
+        return pa.Table.from_arrays([docs.column("_id"), size, pa.array(spans, kind), pa.array(kept, pa.binary()), *rest], [id_col, "n_bytes", "spans", "kept", *carry])
 
     return cut
 
@@ -403,14 +407,18 @@ def _buckets(n: float, each: int) -> int:
     return max(1, min(int(n / each) + 1, max(4096, int(n / (13 * each)))))
 
 
-def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: RepeatParams = RepeatParams()) -> DataFrame:
-    """One row per input row: id_col, n_bytes, spans array<struct<start, end>> (maximal runs of removed bytes) and kept
-    binary (the remaining bytes).
+def repeated_bytes(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: RepeatParams = RepeatParams(), carry: list[str] | None = None, whole_characters: bool = False
+) -> DataFrame:
+    """One row per input row: id_col, n_bytes, spans array<struct<start, end>> (maximal runs of removed bytes), kept binary
+    (the remaining bytes), and the columns named in carry.
 
     A byte is removed if a window of ``depth`` bytes that covers it also starts in a document with a smaller id; windows
-    are those of the input and never cross documents.  Null text counts as empty.  A null id counts as larger than all
-    others; rows with equal ids, and rows with null ids among themselves, take nothing from each other.
+    are those of the input and never cross documents.  With whole_characters, a character goes only if all its bytes do,
+    so that what remains is UTF-8.  Null text counts as empty.  A null id counts as larger than all others; rows with equal
+    ids, and rows with null ids among themselves, take nothing from each other.
     """
+    carry = carry or []
     if p.depth <= p.gram:
         raise ValueError("an anchor must be shorter than a window")
     docs = df.select(F.col(id_col).cast("long").alias("_id"), text_of(df, text_col).alias("_text"))
@@ -421,11 +429,14 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sent = docs.mapInArrow(_send_runs(p, buckets, homes), ROW)
     answers = written(sent.groupBy("part").applyInArrow(_sort_runs(homes), ROW), "repeat-runs")
 
+    kinds = [df.schema[c].dataType.simpleString() for c in carry]
+    wide = df.select(F.col(id_col).cast("long").alias("_id"), text_of(df, text_col).alias("_text"), *[F.col(f"`{c}`").alias(f"_carry{k}") for k, c in enumerate(carry)])
     at_home = docs.withColumn("home", F.coalesce(F.pmod(F.col("_id"), F.lit(homes)), F.lit(0)).cast("int")).groupBy("home")
+    wide = wide.withColumn("home", F.coalesce(F.pmod(F.col("_id"), F.lit(homes)), F.lit(0)).cast("int")).groupBy("home")
     windows = at_home.cogroup(answers.groupBy("home")).applyInArrow(_send_windows(p, buckets, homes), ROW)
     last = written(windows.groupBy("part").applyInArrow(_sort_windows(homes), ROW), "repeat-windows")
     told = answers.unionAll(last).groupBy("home")
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` long, n_bytes long, spans array<struct<start: int, end: int>>, kept binary"
-    out = at_home.cogroup(told).applyInArrow(_cut(p, id_col), schema)
+    schema = f"`{id_col}` long, n_bytes long, spans array<struct<start: int, end: int>>, kept binary" + "".join(f", `{c}` {k}" for c, k in zip(carry, kinds, strict=True))
+    out = wide.cogroup(told).applyInArrow(_cut(p, id_col, carry, whole_characters), schema)
     return out if kind == "bigint" else out.withColumn(id_col, F.col(f"`{id_col}`").cast(kind))
