@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import fields, replace
 from functools import reduce as fold
 
 from pyspark.sql import DataFrame
@@ -39,10 +40,14 @@ def _state(r: Reduction, k: int) -> str:
     return f"{r.name}__s{k}"
 
 
-def _needed(points: DataFrame, reductions: list[Reduction], x: str, y: str) -> DataFrame:
-    """Only the columns in use, under names that nothing here clashes with."""
-    wanted = dict.fromkeys([x, y] + [c for r in reductions for c in r.channels() + (_glyph(r).channels() if r.glyph else [])])
-    return points.select(*[F.col(f"`{c}`") for c in wanted if c in points.columns])
+def _needed(points: DataFrame, reductions: list[Reduction], glyph: GlyphSpec, x: str, y: str) -> tuple[DataFrame, list[Reduction], GlyphSpec]:
+    """Only the columns in use, under names of our own, so that channels may be called row, col or w."""
+    wanted = dict.fromkeys([x, y, *glyph.channels()] + [c for r in reductions for c in r.channels()])
+    own = lambda c: c and f"_ch_{c}"
+    narrow = points.select(*[F.col(f"`{c}`").alias(own(c)) for c in wanted if c in points.columns])
+    renamed = [replace(r, value=own(r.value), weight=own(r.weight), order=own(r.order), ties=tuple(map(own, r.ties)), band=r.name) for r in reductions]
+    channels = {f.name: own(getattr(glyph, f.name)) for f in fields(glyph) if f.name.endswith("_channel")}
+    return narrow, renamed, replace(glyph, **channels)
 
 
 def partial_states(points: DataFrame, grid: GridSpec, reductions: list[Reduction], filters: FilterSpec | None = None, x: str = "x", y: str = "y") -> DataFrame:
@@ -59,7 +64,8 @@ def partial_states(points: DataFrame, grid: GridSpec, reductions: list[Reduction
         by.setdefault(_glyph(r), []).append(r)
     parts = []
     for glyph, own in by.items():
-        spread = splat(_needed(points, own, x, y), grid, glyph, x, y)
+        narrow, own, glyph = _needed(points, own, glyph, x, y)
+        spread = splat(narrow, grid, glyph, f"_ch_{x}", f"_ch_{y}")
         weight = None if glyph.kind == "point" else F.col("w")
         parts.append(spread.groupBy(*KEYS).agg(*[s.alias(_state(r, k)) for r in own for k, s in enumerate(r.partial(weight))]))
     if len(parts) == 1:
