@@ -3,12 +3,13 @@
 Documents with equal sets of word shingles are one class, found by a 128-bit
 digest of the set; only classes are compared.  Each class has many universal
 hash minima; bands of minima give buckets.  Within a bucket not all pairs are
-formed: every class meets the bucket's least class, pairs are verified by their
-minima and then on full sets, and links become components.  A bucket whose
-classes already lie in one component has nothing to add.  The others meet
-further representatives, drawn by a hash that changes with each round, and when
-few pairs between different components are left, all of those are verified.
-So each candidate link is either verified or lies inside a component.
+formed: every class meets the bucket's least class and one drawn by a hash,
+pairs are verified by their minima and then on full sets, and links become
+components.  A bucket whose classes already lie in one component has nothing to
+add.  Of the others, small ones form the pairs between their components; large
+ones are dealt out in blocks, in which the classes of the smaller components
+are held against all others on full sets, and only links come out.  So each
+pair that shares a bucket is either verified or lies inside a component.
 """
 
 from __future__ import annotations
@@ -60,6 +61,7 @@ class MinHashParams:
     bands * rows minima; a pair at the threshold shares no band with probability (1 - (similar / 100)**rows)**bands, which
     is 7e-9 at 85 and 2e-6 at 80 for the given numbers.  Pairs whose minima agree in a share that lies more than slack under
     the threshold, over six standard deviations, are not confirmed on full sets.
+    member_limit, small_bucket, block_rows: sizes of groups in verification; they bound memory and drop nothing.
     """
 
     words: int = 5
@@ -67,8 +69,9 @@ class MinHashParams:
     bands: int = 32
     rows: int = 5
     slack: float = 0.2
-    member_limit: int = 1000
-    star_rounds: int = 6
+    member_limit: int = 250
+    small_bucket: int = 16
+    block_rows: int = 3000
     seed: int = 5
 
 
@@ -218,6 +221,57 @@ def _confirm(pairs: DataFrame, sets: DataFrame, p: MinHashParams) -> DataFrame:
     return sized.mapInArrow(compare, "u long, v long")
 
 
+def _in_blocks(open_members: DataFrame, mixed: DataFrame, sets: DataFrame, low: DataFrame, p: MinHashParams) -> DataFrame:
+    """Links (u, v) between different components of large buckets.
+
+    A bucket of n classes is dealt into n / block_rows blocks by a hash, and each pair of blocks is a group.  A pair of
+    classes that shares several buckets is compared in that of the first band.
+    """
+    blocks = mixed.select("key", F.ceil(F.col("n") / p.block_rows).cast("int").alias("_b"))
+    placed = open_members.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("_b")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
+    placed = placed.select("key", "id", "label", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    rows = placed.join(low.select("id", "bands"), "id").join(sets, "id")
+
+    def compare(t: pa.Table) -> pa.Table:
+        ids, label, own = (t.column(c).to_numpy() for c in ("id", "label", "own"))
+        n = len(ids)
+        bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(n, -1)
+        band = int(np.flatnonzero(bands[0] == t.column("key")[0].as_py())[0])
+        tokens = [np.frombuffer(x, U) for x in t.column("shingles").to_pylist()]
+        size = np.array([len(x) for x in tokens])
+        end = np.cumsum(size)
+        known, which = np.unique(np.concatenate(tokens), return_inverse=True)
+        _, group, count = np.unique(label, return_inverse=True, return_counts=True)
+        order = np.lexsort((label, count[group]))  # members of the largest component come last
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        apart = t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
+        us, vs = [], []
+        for x in order[: n - int(count.max())].tolist():
+            need = (place > place[x]) & (label != label[x]) & (100 * np.minimum(size, size[x]) >= p.similar * np.maximum(size, size[x]))
+            if apart:
+                need &= own != own[x]
+            if band:
+                need &= ~(bands[:, :band] == bands[x, :band]).any(1)
+            if not need.any():
+                continue
+            mark = np.zeros(len(known), bool)
+            mark[which[end[x] - size[x] : end[x]]] = True
+            some = np.flatnonzero(need)
+            if len(some) * 4 < n:
+                both = np.array([mark[which[end[y] - size[y] : end[y]]].sum() for y in some.tolist()])
+            else:
+                sums = np.concatenate([[0], np.cumsum(mark[which])])
+                both = (sums[end] - sums[end - size])[some]
+            linked = some[100 * both >= p.similar * (size[some] + size[x] - both)]
+            us.append(np.full(len(linked), ids[x])), vs.append(ids[linked])
+        u, v = (np.concatenate(a) if a else np.zeros(0, np.int64) for a in (us, vs))
+        return pa.table({"u": pa.array(np.minimum(u, v), pa.int64()), "v": pa.array(np.maximum(u, v), pa.int64())})
+
+    return rows.groupBy("key", "lo", "hi").applyInArrow(compare, "u long, v long")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: MinHashParams = MinHashParams()) -> DataFrame:
     """One row per input row: id_col, n_shingles, component_id (least id reachable over links), kept (it is its own id).
 
@@ -231,11 +285,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # a row of the least id of each class stands for it
     firsts = named.join(classes, "set_key").where("id = cid").select("id", "minima", "bands")
     firsts = written(firsts, "near-firsts")
-    low = firsts.select("id", "minima").dropDuplicates(["id"])
+    low = firsts.dropDuplicates(["id"])
     banded = firsts.select("id", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep")).where("n > 1")
+    drawn = F.min_by("id", F.xxhash64("id", "key"))
+    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep"), drawn.alias("rep2")).where("n > 1")
     buckets = written(buckets, "near-buckets")
-    members = written(banded.join(buckets, "key").select("key", "id", "rep", "n"), "near-members")
+    members = written(banded.join(buckets, "key").select("key", "id", "rep", "rep2", "n"), "near-members")
 
     ids = written(members.select("id").distinct(), "near-ids")
     texts = df.select(F.col(id_col).cast("long").alias("id"), text_of(df, text_col).alias("_text")).join(ids, "id", "left_semi")
@@ -243,45 +298,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     low = written(low.join(ids, "id", "left_semi"), "near-minima")
 
     ordered = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
-    pairs = members.where("id <> rep").select(*ordered(F.col("id"), F.col("rep"))).distinct()
-    tested = written(_likely(pairs, low, p), "near-likely")
+    met = members.select("id", F.explode(F.array_distinct(F.array("rep", "rep2"))).alias("rep")).where("id <> rep")
+    tested = written(_likely(met.select(*ordered(F.col("id"), F.col("rep"))).distinct(), low, p), "near-likely")
     links = written(_confirm(tested, sets, p), "near-links")
     labels = written(connected_components(links), "near-labels")
-    open_members = members.where("n > 2").select("key", "id")  # of two, the only pair is verified
-    for round_ in range(p.star_rounds + 1):
-        labelled = open_members.join(labels.withColumnRenamed("node", "id"), "id", "left")
-        labelled = labelled.select("key", "id", F.coalesce("component", "id").alias("label"))
-        labelled = written(labelled, "near-labelled")
-        # one row per bucket and component, then the buckets with more than one
-        parts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-        mixed = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q"), F.count(F.lit(1)).alias("labels"))
-        mixed = written(mixed.where("labels > 1"), "near-mixed")
-        size = mixed.agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2).alias("pairs"), F.sum("n").alias("members")).first()
-        if not size["members"]:
-            break
-        open_members = written(labelled.join(mixed.select("key"), "key").select("key", "id", "label"), "near-open")
-        last = round_ == p.star_rounds or size["pairs"] <= 4 * size["members"]
-        if last:
-            other = open_members.select("key", F.col("id").alias("id2"), F.col("label").alias("label2"))
-            met = open_members.join(other, "key").where("label < label2").select(*ordered(F.col("id"), F.col("id2")))
-        else:
-            drawn = F.min_by("id", F.xxhash64("id", "key", F.lit(round_))).alias("rep")
-            reps = written(open_members.groupBy("key").agg(drawn), "near-reps")
-            reps = reps.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
-            reps = written(reps.select("key", "rep", F.coalesce("component", "rep").alias("rep_label")), "near-reps")
-            met = open_members.join(reps, "key").where("label <> rep_label").select(*ordered(F.col("id"), F.col("rep")))
-        new = written(_likely(met.distinct().join(tested, ["u", "v"], "left_anti"), low, p), "near-likely")
-        tested = tested.unionAll(new)
-        more = written(_confirm(new, sets, p), "near-links")
-        open_members = open_members.select("key", "id")
-        if more.isEmpty():
-            if last:
-                break
-            continue
-        links = links.unionAll(more)
-        labels = written(connected_components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more)), "near-labels")
-        if last:
-            break
+
+    labelled = members.where("n > 2").select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left")  # of two, the only pair is verified
+    labelled = written(labelled.select("key", "id", F.coalesce("component", "id").alias("label")), "near-labelled")
+    parts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = written(parts.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).where("labels > 1"), "near-mixed")
+    open_members = written(labelled.join(mixed.select("key", "n"), "key"), "near-open")
+    small = open_members.where(F.col("n") <= p.small_bucket)
+    other = small.select("key", F.col("id").alias("id2"), F.col("label").alias("label2"))
+    between = small.join(other, "key").where("label < label2").select(*ordered(F.col("id"), F.col("id2"))).distinct()
+    new = written(_likely(between.join(tested, ["u", "v"], "left_anti"), low, p), "near-likely")
+    large = open_members.where(F.col("n") > p.small_bucket).drop("n")
+    more = _confirm(new, sets, p).unionAll(_in_blocks(large, mixed.where(F.col("n") > p.small_bucket), sets, low, p))
+    more = written(more, "near-links")
+    if not more.isEmpty():
+        stars = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        labels = written(connected_components(stars.unionAll(more)), "near-labels")
 
     joined = classes.join(labels, F.col("cid") == F.col("node"), "left").select("set_key", F.coalesce("component", "cid").alias("component_id"))
     joined = written(joined, "near-components")

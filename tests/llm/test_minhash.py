@@ -79,8 +79,9 @@ def test_groups_and_odd_rows(spark):
     rows += [(3000 + i, rows[5][1].upper() if i % 2 else rows[5][1]) for i in range(30)] + [(4000, "long " * 30_000)]
     df = spark.createDataFrame([(*x, "c") for x in rows], "doc_id long, text string, component_id string")
     for k, similar in ((3, 85), (5, 80)):
-        got = near_duplicates(df, p=MinHashParams(words=k, similar=similar, member_limit=7))
-        assert sorted(map(tuple, got.collect())) == brute(rows, k, similar)
+        for sizes in ({"member_limit": 7, "small_bucket": 2, "block_rows": 11}, {"small_bucket": 100}, {"small_bucket": 3}):
+            got = near_duplicates(df, p=MinHashParams(words=k, similar=similar, **sizes))
+            assert sorted(map(tuple, got.collect())) == brute(rows, k, similar)
 
 
 def test_nulls_repeats_and_empty(spark):
