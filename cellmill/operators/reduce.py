@@ -12,9 +12,12 @@ from pyspark.sql.types import NumericType
 from cellmill.functions.filters import FilterSpec
 from cellmill.functions.grid import GridSpec
 from cellmill.functions.reductions import Reduction
-from cellmill.operators.glyphs import GlyphSpec, splat
+from cellmill.operators.glyphs import GlyphSpec, footprint_rows, splat
+from cellmill.operators.kernels import splat_sums
 
 KEYS = ["row", "col"]
+#: Measured: from about this many cells of a footprint on, windows beat rows.
+DENSE_CELLS = 40
 
 
 def check(points: DataFrame, reductions: list[Reduction], x: str, y: str) -> None:
@@ -50,11 +53,30 @@ def _needed(points: DataFrame, reductions: list[Reduction], glyph: GlyphSpec, x:
     return narrow, renamed, replace(glyph, **channels)
 
 
-def partial_states(points: DataFrame, grid: GridSpec, reductions: list[Reduction], filters: FilterSpec | None = None, x: str = "x", y: str = "y") -> DataFrame:
+def _dense(glyph: GlyphSpec, grid: GridSpec) -> bool:
+    own_size = glyph.sigma_x_channel or glyph.half_length_channel
+    return glyph.kind != "point" and (bool(own_size) or footprint_rows(glyph, grid) >= DENSE_CELLS)
+
+
+def _summed(narrow: DataFrame, grid: GridSpec, glyph: GlyphSpec, own: list[Reduction], x: str, y: str) -> DataFrame:
+    values = list(dict.fromkeys(r.value for r in own))
+    points = narrow.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in narrow.columns if c in {x, y, *values, *glyph.channels()}])
+    sums = splat_sums(points.where(grid.in_bounds(x, y)), grid, glyph, values, x, y)
+    states = []
+    for r in own:
+        vw, w = F.sum(f"`{r.value}__vw`"), F.sum(f"`{r.value}__w`")
+        states += [s.alias(_state(r, k)) for k, s in enumerate({"sum": [vw], "count": [w]}.get(r.kind, [vw, w]))]
+    return sums.groupBy(*KEYS).agg(*states)
+
+
+def partial_states(points: DataFrame, grid: GridSpec, reductions: list[Reduction], filters: FilterSpec | None = None, x: str = "x", y: str = "y", dense: bool | None = None) -> DataFrame:
     """row, col and the states of every reduction in cells that have points: columns <band>__s0, <band>__s1.
 
     Reductions of one footprint share a scan, a footprint and a shuffle; the branches of different footprints meet in one
     more aggregation over cells.
+
+    dense: whether footprints are summed up in windows (cellmill.operators.kernels) or exploded into rows; by default
+    windows serve footprints of DENSE_CELLS cells or more.  Streams always explode.
     """
     grid.validate()
     check(points, reductions, x, y)
@@ -62,9 +84,13 @@ def partial_states(points: DataFrame, grid: GridSpec, reductions: list[Reduction
     by: dict[GlyphSpec, list[Reduction]] = {}
     for r in reductions:
         by.setdefault(_glyph(r), []).append(r)
+    dense = False if points.isStreaming else dense
     parts = []
     for glyph, own in by.items():
         narrow, own, glyph = _needed(points, own, glyph, x, y)
+        if dense if dense is not None else _dense(glyph, grid):
+            parts.append(_summed(narrow, grid, glyph, own, f"_ch_{x}", f"_ch_{y}"))
+            continue
         spread = splat(narrow, grid, glyph, f"_ch_{x}", f"_ch_{y}")
         weight = None if glyph.kind == "point" else F.col("w")
         parts.append(spread.groupBy(*KEYS).agg(*[s.alias(_state(r, k)) for r in own for k, s in enumerate(r.partial(weight))]))

@@ -8,7 +8,8 @@ import pytest
 from cellmill.functions.grid import GridSpec
 from cellmill.functions.reductions import Reduction
 from cellmill.operators.glyphs import GlyphSpec, footprint_rows, gaussian_glyph, line_glyph, splat
-from cellmill.operators.reduce import reduce_points
+from cellmill.operators import kernels
+from cellmill.operators.reduce import finalize_states, partial_states, reduce_points
 
 GRID = GridSpec.of(0, 0, 20, 15, 1, -1, 8, 6)
 
@@ -140,5 +141,48 @@ def test_what_footprints_cannot_do(spark, points):
 def test_no_python_in_the_plan(spark, points):
     _, df = points
     for spec in SPECS:
-        plan = reduce_points(df, GRID, [Reduction("v", "sum", glyph=spec)])._jdf.queryExecution().executedPlan().toString()
+        plan = finalize_states(partial_states(df, GRID, [Reduction("v", "sum", glyph=spec)], dense=False), [Reduction("v", "sum", glyph=spec)])._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("spec", SPECS)
+@pytest.mark.parametrize("change", [{}, {"clip_to_tile": False}, {"anchor": "center"}, {"strict_radius": True, "max_radius": 2.0}, {"normalize": True}])
+def test_windows_equal_rows(spark, points, spec, change, monkeypatch):
+    from dataclasses import replace
+
+    from pyspark.sql import functions as F
+
+    _, df = points
+    df = df.withColumn("v", F.when(F.col("id") % 7 != 0, F.col("v"))).repartition(2)
+    rs = [Reduction("v", k, band=k, glyph=replace(spec, **change)) for k in ("sum", "count", "average")]
+    rows = lambda dense: {(r.row, r.col): (r["sum"], r["count"], r["average"]) for r in finalize_states(partial_states(df, GRID, rs, dense=dense), rs).collect()}
+    want, got = rows(False), rows(True)
+    assert got.keys() == want.keys()
+    for k, w in want.items():
+        assert [x is None for x in got[k]] == [x is None for x in w] and [x for x in got[k] if x is not None] == pytest.approx([x for x in w if x is not None])
+
+
+def test_windows_of_bounded_size(points, monkeypatch):
+    """Windows that are too small for the grid are sent and begun anew; the sums stay."""
+    import pyarrow as pa
+
+    from cellmill.operators.kernels import splat_sums
+
+    class Frame:
+        columns = ["x", "y", "v"]
+
+        def mapInArrow(self, f, schema):
+            return f
+
+    rows, _ = points
+    batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.float64()) for k in (1, 2, 3)], ["x", "y", "v"])
+    totals = []
+    for size in (4_000_000, 60):
+        monkeypatch.setattr(kernels, "WINDOW", size)
+        out = list(splat_sums(Frame(), GRID, gaussian_glyph(0.8, clip_to_tile=False), ["v"], "x", "y")(iter([batch, batch.slice(0, 20)])))
+        sums: dict = {}
+        for r in pa.Table.from_batches(out).to_pylist():
+            sums[r["row"], r["col"]] = sums.get((r["row"], r["col"]), 0) + r["v__w"]
+        totals.append((len(out), sums))
+    assert totals[0][0] == 1 < totals[1][0] and totals[0][1].keys() == totals[1][1].keys()
+    assert all(totals[1][1][k] == pytest.approx(v) for k, v in totals[0][1].items())
