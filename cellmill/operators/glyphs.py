@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellmill.functions.grid import GridSpec
+from cellmill.functions.reductions import Reduction
 
 #: Fixed value: lighter cells of a Gaussian footprint are left out.
 LEAST_WEIGHT = 1e-6
@@ -68,6 +69,16 @@ def line_glyph(direction: float = 0.0, half_length: float = 1.0, **kw) -> GlyphS
     return GlyphSpec("line", default_direction=direction, default_half_length=half_length, **kw)
 
 
+def gaussian_splat(value: str, sigma: float = 1.0, sigma_x: float | None = None, sigma_y: float | None = None, band: str | None = None, **kw) -> Reduction:
+    """The weighted average of a channel under Gaussian footprints; channels and other options as in GlyphSpec."""
+    return Reduction(value, "weighted_average", band=band, glyph=gaussian_glyph(sigma, sigma_x, sigma_y, **kw))
+
+
+def line_splat(value: str, direction: float = 0.0, half_length: float = 1.0, band: str | None = None, **kw) -> Reduction:
+    """The weighted average of a channel under line footprints."""
+    return Reduction(value, "weighted_average", band=band, glyph=line_glyph(direction, half_length, **kw))
+
+
 def _parameter(df: DataFrame, channel: str | None, default: float, positive: bool = False) -> Column:
     if not channel or channel not in df.columns:
         return F.lit(float(default))

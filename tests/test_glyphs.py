@@ -128,6 +128,17 @@ def test_different_footprints_in_one_run(spark, points):
         assert {k: v[r.name] for k, v in both.items() if v[r.name] is not None} == pytest.approx(alone)
 
 
+def test_splat_helpers(spark, points):
+    from cellmill.api import gaussian_splat, line_splat
+
+    _, df = points
+    for short, long in (
+        (gaussian_splat("v", 0.8, band="a"), Reduction("v", "weighted_average", band="a", glyph=gaussian_glyph(0.8))),
+        (line_splat("v", 0.3, 2.0, band="a", direction_channel="dir"), Reduction("v", "weighted_average", band="a", glyph=line_glyph(0.3, 2.0, direction_channel="dir"))),
+    ):
+        assert short == long and reduce_points(df, GRID, [short]).count() > 0
+
+
 def test_what_footprints_cannot_do(spark, points):
     _, df = points
     for kind in ("max", "min", "median"):
