@@ -43,7 +43,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends here, and a lost executor costs nothing that is written."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    if _OPEN:
+        _OPEN[-1].paths[path] = out
+    return out
+
+
+class scratch:  # noqa: N801
+    """Tables that are written inside the block are deleted at its end, but for those that are kept."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.paths = {p: d for p, d in self.paths.items() if d is not df}
+        return df
+
+    def __enter__(self) -> scratch:
+        _OPEN.append(self)
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        _OPEN.pop()
+        for path in self.paths if kind is None else ():
+            delete(self.spark, path)
+
+
+_OPEN: list[scratch] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def open_shared(uri: str):

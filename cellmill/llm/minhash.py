@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellmill.llm.common import slots, text_of, written
+from cellmill.llm.common import scratch, slots, text_of, written
 from cellmill.llm.components import connected_components
 
 U = np.uint64
@@ -272,13 +272,8 @@ def _in_blocks(open_members: DataFrame, mixed: DataFrame, sets: DataFrame, low:
     return rows.groupBy("key", "lo", "hi").applyInArrow(compare, "u long, v long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: MinHashParams = MinHashParams()) -> DataFrame:
-    """One row per input row: id_col, n_shingles, component_id (least id reachable over links), kept (it is its own id).
-
-    Letters A-Z count as a-z and words are parted by ASCII white space.  Texts without words, null ones too, have no
-    shingles and are linked with nothing.  Rows with a null id are linked with nothing and kept, with a null component.
-    Rows that repeat an id share its component.
-    """
+def _components(df: DataFrame, id_col: str, text_col: str, p: MinHashParams) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows, and the component of each set_key; both written."""
     signed = written(signatures(df, id_col, text_col, p), "near-signatures")
     named = signed.where("set_key IS NOT NULL AND id IS NOT NULL")
     classes = written(named.groupBy("set_key").agg(F.min("id").alias("cid")), "near-classes")
@@ -321,6 +316,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     joined = classes.join(labels, F.col("cid") == F.col("node"), "left").select("set_key", F.coalesce("component", "cid").alias("component_id"))
     joined = written(joined, "near-components")
+    return signed, joined
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: MinHashParams = MinHashParams()) -> DataFrame:
+    """One row per input row: id_col, n_shingles, component_id (least id reachable over links), kept (it is its own id).
+
+    Letters A-Z count as a-z and words are parted by ASCII white space.  Texts without words, null ones too, have no
+    shingles and are linked with nothing.  Rows with a null id are linked with nothing and kept, with a null component.
+    Rows that repeat an id share its component.
+    """
+    with scratch(df.sparkSession) as s:
+        signed, joined = _components(df, id_col, text_col, p)
+        s.keep(signed)
+        s.keep(joined)
     rows = signed.select("id", "n_shingles", "set_key").join(joined, "set_key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return rows.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -89,3 +89,12 @@ def test_nulls_repeats_and_empty(spark):
     got = sorted(map(tuple, near_duplicates(df).collect()), key=repr)
     assert got == sorted([(None, 2, None, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (None, 0, None, True)], key=repr)
     assert near_duplicates(df.where("false")).count() == 0
+
+
+def test_scratch_tables_go(spark, tmp_path, monkeypatch):
+    import os
+
+    monkeypatch.setattr("cellmill.llm.common.shared_dir", lambda spark: f"file://{tmp_path}")
+    df = spark.createDataFrame([(i, f"a b c d e f {i // 2}") for i in range(8)], "doc_id long, text string")
+    assert near_duplicates(df).where("kept").count() == 4
+    assert sorted(x.rsplit("-", 1)[0] for x in os.listdir(tmp_path / "cellmill")) == ["near-components", "near-signatures"]
