@@ -11,7 +11,7 @@ from cellmill.plans.pipeline import Pipeline, PipelineConfig, ProgressInfo
 from cellmill.sources.binary import CloudReader, read_binary, read_header, write_binary, write_cloud
 from cellmill.sources.geotiff import GeoTiffOptions, TiledGeoTiffWriter, read_geotiff, read_geotiff_band, read_geotiff_info, write_geotiff
 from cellmill.sources.las import read_las, read_las_header, write_las
-from cellmill.sources.points import combined_bbox, csv_info, detect_format, from_arrays, from_dataframe, read_csv, read_points, write_csv
+from cellmill.sources.points import combined_bbox, csv_info, detect_format, from_arrays, from_dataframe, open_points, read_csv, read_points, write_csv
 from cellmill.streaming.ingest import ingest_stream, live_cells, read_stream, windowed_cells
 from cellmill.streaming.state import StateStore
 

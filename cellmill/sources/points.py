@@ -97,6 +97,58 @@ def from_dataframe(df: DataFrame, x: str, y: str, **channels: str) -> DataFrame:
     return df.select(as_double(x).alias("x"), as_double(y).alias("y"), *[F.col(f"`{c}`").alias(name) for name, c in channels.items()])
 
 
+class CsvReader:
+    """Reads a CSV file in chunks of rows, in one process; all columns are double."""
+
+    def __init__(self, path: str):
+        self.path = path.removeprefix("file://")
+        self.rewind()
+
+    def rewind(self) -> None:
+        import pyarrow as pa
+        from pyarrow import csv
+
+        with open(self.path, encoding="utf-8") as f:
+            self.columns = [c.strip() for c in f.readline().split(",")]
+        if [c.lower() for c in self.columns[:2]] != ["x", "y"]:
+            raise ValueError("the first two columns must be x and y")
+        types = csv.ConvertOptions(column_types={c: pa.float64() for c in self.columns})
+        self._stream = csv.open_csv(self.path, csv.ReadOptions(column_names=self.columns, skip_rows=1), convert_options=types)
+        self._rest = None
+        self._more()
+
+    def _more(self) -> None:
+        import pyarrow as pa
+
+        try:
+            batch = self._stream.read_next_batch()
+        except StopIteration:
+            self._over = True
+            return
+        self._over = False
+        self._rest = batch if not self._rest or not self._rest.num_rows else pa.Table.from_batches([self._rest, batch]).combine_chunks().to_batches()[0]
+
+    @property
+    def eof(self) -> bool:
+        return self._over and not (self._rest and self._rest.num_rows)
+
+    def read_chunk(self, rows: int):
+        while not self._over and (self._rest is None or self._rest.num_rows < rows):
+            self._more()
+        out, self._rest = self._rest.slice(0, rows), self._rest.slice(rows)
+        return out
+
+
+def open_points(path: str):
+    """A reader of chunks by the file's format: eof, read_chunk(rows), rewind()."""
+    from cellmill.sources.binary import CloudReader
+
+    fmt = detect_format(path)
+    if fmt not in ("binary", "csv"):
+        raise NotImplementedError(f"no chunk reader for {fmt}")
+    return CloudReader(path) if fmt == "binary" else CsvReader(path)
+
+
 def combined_bbox(points: DataFrame, x: str = "x", y: str = "y") -> BBox:
     """The box of all points, in one aggregation; empty for none.  NaN coordinates don't count."""
     real = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))

@@ -66,6 +66,26 @@ def test_binary(spark, cloud, tmp_path):
     assert binary.read_binary(spark, str(tmp_path / "u.cloud")).first() == (1.0, 2.0, 200, 60000)
 
 
+def test_chunk_readers(tmp_path):
+    n = 1000
+    table = pa.table({"x": np.arange(n) * 1.0, "y": np.arange(n) * 2.0, "v": np.arange(n) * 0.5})
+    binary.write_cloud(str(tmp_path / "a.cloud"), table)
+    (tmp_path / "a.csv").write_text("x,y,v\n" + "".join(f"{i}.0,{2 * i},{i / 2}\n" for i in range(n)))
+    for name in ("a.cloud", "a.csv"):
+        reader = points.open_points(str(tmp_path / name))
+        for _ in range(2):
+            chunks = []
+            while not reader.eof:
+                chunks.append(reader.read_chunk(300))
+            assert [c.num_rows for c in chunks] == [300, 300, 300, 100] and pa.Table.from_batches(chunks).equals(table)
+            reader.rewind()
+    (tmp_path / "b.csv").write_text("y,x\n1,2\n")
+    with pytest.raises(ValueError):
+        points.open_points(str(tmp_path / "b.csv"))
+    with pytest.raises(NotImplementedError):
+        points.open_points("a.las")
+
+
 def test_detection(spark, cloud, tmp_path):
     binary.write_cloud(str(tmp_path / "named.dat"), pa.table({"x": [1.0], "y": [2.0]}))
     (tmp_path / "las.bin").write_bytes(b"LASF")
