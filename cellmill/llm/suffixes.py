@@ -68,12 +68,10 @@ class Block:
     def _digest(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[begin]) * self.down[begin]
 
-    def _starts(self, docs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def _starts(self) -> tuple[np.ndarray, np.ndarray]:
         """Place and document of each window."""
-        docs = np.arange(len(self.size)) if docs is None else docs
-        n = np.maximum(self.size[docs] - self.p.depth + 1, 0)
-        first = np.repeat(self.at[docs] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) if len(docs) else np.zeros(0, np.int64)
-        return first + np.arange(n.sum()), np.repeat(docs, n)
+        n = np.maximum(self.size - self.p.depth + 1, 0)
+        return _expand(self.at[:-1], n), np.repeat(np.arange(len(n)), n)
 
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(anchor digest, context digest, document, first window, windows) of each run, by place."""
@@ -301,10 +299,7 @@ class _Told:
             a, b = _unpack(blob[1:], 2)
             ids = _ids_in(a)
             found[blob[0]].append(self.key(ids, np.frombuffer(b, "<u8")))
-            if blob[0] == WINDOW:
-                self.ids = ids if not hasattr(self, "ids") else np.concatenate([self.ids, ids])
         self.by = {k: np.unique(np.concatenate(v)) if v else np.zeros(0, U) for k, v in found.items()}
-        self.ids = np.unique(self.ids) if hasattr(self, "ids") else np.zeros(0, np.int64)
 
     @staticmethod
     def key(ids: np.ndarray, digest: np.ndarray) -> np.ndarray:
@@ -362,18 +357,19 @@ def _cut(p: RepeatParams, id_col: str, carry: list[str], whole: bool):
         for a, b in _blocks(raws):
             block = Block(raws[a:b], p)
             edge = np.zeros(len(block.raw) + 1, np.int32)
-            if len(told.by[GONE]):
+            if len(told.by[GONE]) or len(told.by[WINDOW]):
                 gram, context, doc, first, count = block.runs()
-                gone = told.has(GONE, told.key(ids[a + doc], _run_key(gram, context)))
+                key = told.key(ids[a + doc], _run_key(gram, context))
+                gone = told.has(GONE, key)
                 np.add.at(edge, first[gone], 1)
                 np.add.at(edge, first[gone] + count[gone] - 1 + p.depth, -1)
-            some = np.flatnonzero(np.isin(ids[a:b], told.ids))
-            if len(some):
-                starts, doc = block._starts(some)
-                high, more = block.windows(starts)
-                gone = told.has(WINDOW, told.key(ids[a + doc], high ^ more.astype(U) * _C))
-                np.add.at(edge, starts[gone], 1)
-                np.add.at(edge, starts[gone] + p.depth, -1)
+                go = told.has(OPEN, key) if len(told.by[WINDOW]) else np.zeros(len(key), bool)
+                if go.any():
+                    starts = _expand(first[go], count[go])
+                    high, more = block.windows(starts)
+                    gone = told.has(WINDOW, told.key(np.repeat(ids[a + doc[go]], count[go]), high ^ more.astype(U) * _C))
+                    np.add.at(edge, starts[gone], 1)
+                    np.add.at(edge, starts[gone] + p.depth, -1)
             covered = np.cumsum(edge[:-1]) > 0
             if whole and len(covered):
                 begins = np.flatnonzero((block.raw & 0xC0) != 0x80)
