@@ -425,14 +425,15 @@ def repeated_bytes(
     sent = docs.mapInArrow(_send_runs(p, buckets, homes), ROW)
     answers = written(sent.groupBy("part").applyInArrow(_sort_runs(homes), ROW), "repeat-runs")
 
+    # the windows and the cut read the same exchange of texts: both stand in one plan, in which Spark makes it once
     kinds = [df.schema[c].dataType.simpleString() for c in carry]
-    wide = df.select(F.col(id_col).cast("long").alias("_id"), text_of(df, text_col).alias("_text"), *[F.col(f"`{c}`").alias(f"_carry{k}") for k, c in enumerate(carry)])
-    at_home = docs.withColumn("home", F.coalesce(F.pmod(F.col("_id"), F.lit(homes)), F.lit(0)).cast("int")).groupBy("home")
-    wide = wide.withColumn("home", F.coalesce(F.pmod(F.col("_id"), F.lit(homes)), F.lit(0)).cast("int")).groupBy("home")
+    home = F.coalesce(F.pmod(F.col("_id"), F.lit(homes)), F.lit(0)).cast("int").alias("home")
+    own = [F.col(f"`{c}`").alias(f"_carry{k}") for k, c in enumerate(carry)]
+    at_home = df.select(F.col(id_col).cast("long").alias("_id"), text_of(df, text_col).alias("_text"), *own).select("*", home).groupBy("home")
     windows = at_home.cogroup(answers.groupBy("home")).applyInArrow(_send_windows(p, buckets, homes), ROW)
-    last = written(windows.groupBy("part").applyInArrow(_sort_windows(homes), ROW), "repeat-windows")
+    last = windows.groupBy("part").applyInArrow(_sort_windows(homes), ROW)
     told = answers.unionAll(last).groupBy("home")
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` long, n_bytes long, spans array<struct<start: int, end: int>>, kept binary" + "".join(f", `{c}` {k}" for c, k in zip(carry, kinds, strict=True))
-    out = wide.cogroup(told).applyInArrow(_cut(p, id_col, carry, whole_characters), schema)
+    out = at_home.cogroup(told).applyInArrow(_cut(p, id_col, carry, whole_characters), schema)
     return out if kind == "bigint" else out.withColumn(id_col, F.col(f"`{id_col}`").cast(kind))
