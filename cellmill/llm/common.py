@@ -50,13 +50,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 class scratch:  # noqa: N801
-    """Tables that are written inside the block are deleted at its end, but for those that are kept."""
+    """Tables that are written inside the block are deleted at its end, but for those that are kept; these belong to the
+    block around it, if there is one."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
+        self.spark, self.paths, self.kept = spark, {}, {}
 
     def keep(self, df: DataFrame) -> DataFrame:
-        self.paths = {p: d for p, d in self.paths.items() if d is not df}
+        self.kept |= {p: d for p, d in self.paths.items() if d is df}
         return df
 
     def __enter__(self) -> scratch:
@@ -65,7 +66,9 @@ class scratch:  # noqa: N801
 
     def __exit__(self, kind, *_) -> None:
         _OPEN.pop()
-        for path in self.paths if kind is None else ():
+        if _OPEN:
+            _OPEN[-1].paths |= self.kept
+        for path in self.paths.keys() - self.kept.keys() if kind is None else ():
             delete(self.spark, path)
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellmill.llm.common import scratch, table, written
+from cellmill.llm.common import delete, scratch, table, written
 from cellmill.llm.exact import keep_one
 from cellmill.llm.minhash import MinHashParams, near_duplicates
 from cellmill.llm.packing import pack, token_pieces
@@ -60,8 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         with scratch(spark) as s:
             docs = s.keep(written(stage(spark, docs, sf_dir), f"stage-{name}"))
+        for path in before:  # nothing reads it any more
+            delete(spark, path)
+        before = list(s.kept)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -56,10 +56,18 @@ def test_each_stage_against_brute_force(spark, sf):
     assert len({x.sequence_id for x in out["packing"]}) <= -(-total // 2048) + 1
 
 
-def test_run_and_odd_rows(spark, sf):
+def test_run_leaves_only_what_its_result_reads(spark, sf, tmp_path, monkeypatch):
+    import os
+
     import __spark_entry__
 
+    monkeypatch.setattr("cellmill.llm.common.shared_dir", lambda spark: f"file://{tmp_path}")
     assert __spark_entry__.queries()["pipeline"](spark, sf).count() > 0
+    left = {x.rsplit("-", 1)[0] for x in os.listdir(tmp_path / "cellmill")}
+    assert left == {"stage-repeats", "pieces", "piece-counts"}
+
+
+def test_odd_rows(spark, sf):
     clean = " ".join(f"word{i}" for i in range(80))
     rows = [(None, clean, None, None, None), (1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, clean, None, "s", 5), (3, clean, None, "s", 5), (4, "é " * 40, "fr", None, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
