@@ -50,7 +50,7 @@ class RepeatParams:
     gram: int = 20
     held_runs: int = 1_500_000
     bucket_runs: int = 300_000
-    group_mb: float = 8.0
+    group_mb: float = 2.0
 
 
 class Block:
@@ -398,8 +398,8 @@ def _prime(n: int) -> int:
     return n
 
 
-def _buckets(n: float, each: int) -> int:
-    """Buckets of ``each`` entries; beyond 4096 of them they grow first, up to 13 times."""
+def _buckets(n: float, each: float) -> int:
+    """Buckets of about ``each``; beyond 4096 of them they grow first, up to 13 times."""
     return max(1, min(int(n / each) + 1, max(4096, int(n / (13 * each)))))
 
 
@@ -419,7 +419,7 @@ def repeated_bytes(
         raise ValueError("an anchor must be shorter than a window")
     docs = df.select(F.col(id_col).cast("long").alias("_id"), text_of(df, text_col).alias("_text"))
     total = docs.agg(F.sum(F.octet_length("_text")).alias("n")).first()["n"] or 0
-    homes = _prime(int(total / (p.group_mb * 1e6)) + 1)
+    homes = _prime(_buckets(total, p.group_mb * 1e6))
     density = 2 / (p.depth - p.gram + 2)
     buckets = _buckets(total * density, p.bucket_runs)
     sent = docs.mapInArrow(_send_runs(p, buckets, homes), ROW)
