@@ -22,7 +22,7 @@ import numpy as np
 #: Unicode white space, spelled out: libraries differ in what \s means to them.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Entries of a worker's table of known splits.
-KNOWN = 700_000
+KNOWN = 300_000
 #: The usual pattern and, for texts of Latin letters and common punctuation, what it means to the faster ``re`` module:
 #: there, letters are word characters that are neither decimal digits nor the underscore.
 USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
