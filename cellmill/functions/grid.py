@@ -7,7 +7,7 @@ cell needs no join and no Python.  Rows count downward from max_y.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +74,20 @@ class GridSpec:
         """A north-up grid over a box that is padded by some cells."""
         return cls(box.padded(cell * pad_cells, cell * pad_cells), cell, -cell, **kw)
 
+    def covering(self, box: BBox) -> GridSpec:
+        """The grid grown by whole tiles until its bounds hold the box; itself if they do, or if the box is empty.
+
+        Edges of cells and tiles stay where they are, but rows and columns are counted from the new corner.
+        """
+        b, x, y = self.bounds, self.tile_width * abs(self.cell_x), self.tile_height * abs(self.cell_y)
+        if not box.valid:
+            return self
+        if not all(map(math.isfinite, (box.min_x, box.min_y, box.max_x, box.max_y))):
+            raise ValueError("the box is not finite")
+        more = lambda missing, tile: max(0, math.ceil(missing / tile)) * tile
+        grown = BBox(b.min_x - more(b.min_x - box.min_x, x), b.min_y - more(b.min_y - box.min_y, y), b.max_x + more(box.max_x - b.max_x, x), b.max_y + more(box.max_y - b.max_y, y))
+        return self if grown == b else replace(self, bounds=grown)
+
     def validate(self) -> GridSpec:
         b = self.bounds
         if not b.valid or not all(map(math.isfinite, (b.min_x, b.min_y, b.max_x, b.max_y))):

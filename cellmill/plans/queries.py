@@ -38,6 +38,13 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def covered(cloud: DataFrame, grid: GridSpec) -> GridSpec:
+    """The grid, grown where the table has points outside of it: no row is dropped at any scale."""
+    from cellmill.sources.points import combined_bbox as box
+
+    return grid.covering(box(cloud))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("embedding")
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
@@ -79,7 +86,9 @@ def _round(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 
 def _reduced(name: str, cloud, grid: GridSpec, reduction: Reduction, select: str, head: str, digits: int = 9, group: str = "GROUP BY 2, 1") -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _round(reduce_points(cloud(spark, sf_dir), grid, [reduction]), reduction.name, digits=digits)
+        points = cloud(spark, sf_dir)
+        at = covered(points, grid) if grid is EVENTS else grid
+        return _round(reduce_points(points, at, [reduction]), reduction.name, digits=digits)
 
     QUERIES[name] = run
     ORACLE_SQL[name] = f'{head} SELECT "row", col, round(CAST({select} AS DOUBLE), {digits}) AS {reduction.name} FROM c {group}'
@@ -275,16 +284,19 @@ def two_collections(spark, sf_dir):
     SELECT g."row", g.col, round(CASE WHEN s.v IS NOT NULL THEN s.v WHEN t.tr IS NOT NULL THEN 0 END, 6) AS v
     FROM g LEFT JOIN s USING ("row", col) LEFT JOIN t ON t.tr = g."row" // 5 AND t.tc = g.col // 40""")
 def dense_sum_touched(spark, sf_dir):
-    part = events(spark, sf_dir).where("x < 200 AND y < 60")
-    dense = R.to_dense(reduce_points(part, EVENTS, [Reduction("value", "sum", band="v")]), EVENTS, "touched_zero", ("v",))
+    cloud = events(spark, sf_dir)
+    grid, part = covered(cloud, EVENTS), cloud.where("x < 200 AND y < 60")
+    dense = R.to_dense(reduce_points(part, grid, [Reduction("value", "sum", band="v")]), grid, "touched_zero", ("v",))
     return _round(dense.withColumn("v", F.when(~F.isnan("v"), F.col("v"))), "v")
 
 
 @query(f"""{EVENT}, s AS (SELECT "row", col, avg(value) AS v FROM c GROUP BY 1, 2) SELECT 1800::BIGINT AS cells, count(v) AS covered, round(100.0 * count(v) / 1800, 6) AS coverage,
     min(v) AS minimum, max(v) AS maximum, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.05), 6) AS p5, round(quantile_cont(v, 0.95), 6) AS p95 FROM s""".replace("min(v)", "round(min(v), 6)").replace("max(v)", "round(max(v), 6)"))
 def raster_stats(spark, sf_dir):
-    raster = reduce_points(events(spark, sf_dir), EVENTS, [Reduction("value", "average", band="v")])
-    return _round(R.raster_stats(raster, "v", 1800), "coverage", "minimum", "maximum", "mean", "p5", "p95")
+    cloud = events(spark, sf_dir)
+    grid = covered(cloud, EVENTS)
+    raster = reduce_points(cloud, grid, [Reduction("value", "average", band="v")])
+    return _round(R.raster_stats(raster, "v", grid.width * grid.height), "coverage", "minimum", "maximum", "mean", "p5", "p95")
 
 
 @query(f"""{EVENT}, a AS (SELECT "row", col, avg(value) AS a FROM c WHERE event_id % 2 = 0 GROUP BY 1, 2), b AS (SELECT "row", col, avg(value) AS b FROM c WHERE event_id % 3 = 0 GROUP BY 1, 2),
@@ -293,7 +305,8 @@ def raster_stats(spark, sf_dir):
 def raster_diff(spark, sf_dir):
     mean = [Reduction("value", "average", band="v")]
     cloud = events(spark, sf_dir)
-    halves = [reduce_points(cloud.where(F.col("event_id") % k == 0), EVENTS, mean) for k in (2, 3)]
+    grid = covered(cloud, EVENTS)
+    halves = [reduce_points(cloud.where(F.col("event_id") % k == 0), grid, mean) for k in (2, 3)]
     return _round(R.raster_diff(*halves, "v", tolerance=1.0), "max_diff", "mean_diff")
 
 
@@ -305,8 +318,9 @@ def overview_4(spark, sf_dir):
 @query(f"""{EVENT}, s AS (SELECT "row", col, max(value) AS v FROM c WHERE event_id % 5 = 0 GROUP BY 1, 2), g AS (SELECT CAST(id // 120 AS INTEGER) AS "row", CAST(id % 120 AS INTEGER) AS col FROM range(1800) r(id))
     SELECT "row", col, CAST(v IS NOT NULL AS INTEGER) AS v FROM g LEFT JOIN s USING ("row", col)""")
 def valid_mask(spark, sf_dir):
-    part = events(spark, sf_dir).where(F.col("event_id") % 5 == 0)
-    return R.valid_mask(R.to_dense(reduce_points(part, EVENTS, [Reduction("value", "max", band="v")]), EVENTS))
+    cloud = events(spark, sf_dir)
+    grid, part = covered(cloud, EVENTS), cloud.where(F.col("event_id") % 5 == 0)
+    return R.valid_mask(R.to_dense(reduce_points(part, grid, [Reduction("value", "max", band="v")]), grid))
 
 
 @query(f"""{LINE}, s AS (SELECT "row", col, count(*) AS n FROM c GROUP BY 1, 2) SELECT * FROM s WHERE "row" % 3 = 0 AND col % 3 = 0""")
