@@ -17,6 +17,8 @@ from cellmill.operators.reduce import finalize_states, merge_states, partial_sta
 
 LINEITEM = GridSpec.of(0, 0, 105000, 51, 1000, -1, 32, 16)
 EVENTS = GridSpec.of(0, 0, 720, 150, 6, -10, 40, 5)
+#: Finer than EVENTS and wider than the table: holds empty cells and empty tiles when all events are reduced.
+WIDE = GridSpec.of(-240, -50, 960, 200, 2, -2, 40, 5)
 VECTORS = GridSpec.of(-0.5, -0.5, 0.5, 0.5, 0.05, -0.05, 10, 10)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +63,17 @@ def _cells(grid: GridSpec) -> str:
         FROM p WHERE x BETWEEN {b.min_x} AND {b.max_x} AND y BETWEEN {b.min_y} AND {b.max_y})"""
 
 
+def _covered(grid: GridSpec) -> str:
+    """As _cells, on the grid grown to cover p; g has one row with its corner, width and height, and all_cells every cell."""
+    b, x, y = grid.bounds, grid.tile_width * grid.cell_x, -grid.tile_height * grid.cell_y
+    return f"""b AS (SELECT {b.min_x} - {x} * greatest(ceil(({b.min_x} - min(x)) / {x}), 0) AS x0, {b.max_x} + {x} * greatest(ceil((max(x) - {b.max_x}) / {x}), 0) AS x1,
+            {b.min_y} - {y} * greatest(ceil(({b.min_y} - min(y)) / {y}), 0) AS y0, {b.max_y} + {y} * greatest(ceil((max(y) - {b.max_y}) / {y}), 0) AS y1 FROM p),
+        g AS (SELECT x0, y1, CAST(ceil((x1 - x0) / {grid.cell_x}) AS BIGINT) AS width, CAST(ceil((y1 - y0) / {-grid.cell_y}) AS BIGINT) AS height FROM b),
+        all_cells AS (SELECT CAST(id // width AS INTEGER) AS "row", CAST(id % width AS INTEGER) AS col FROM (SELECT width, unnest(range(width * height)) AS id FROM g)),
+        c AS (SELECT p.*, CAST(least(floor((x - x0) / {grid.cell_x}), width - 1) AS INTEGER) AS col, CAST(least(floor((y - y1) / ({grid.cell_y})), height - 1) AS INTEGER) AS "row"
+            FROM p, g WHERE x IS NOT NULL AND y IS NOT NULL)"""
+
+
 P_LINE = """p AS (SELECT l_extendedprice AS x, l_quantity AS y, l_discount AS value, l_quantity AS weight, epoch_us(l_shipdate) AS ts,
     l_linenumber AS class, l_tax AS tax, l_orderkey AS okey FROM lineitem)"""
 P_EVENT = "p AS (SELECT (epoch_us(ts) - 1704067200000000) / 3600000000.0::DOUBLE AS x, user_id + 0.5::DOUBLE AS y, value, epoch_us(ts) AS ts, event_id FROM events)"
@@ -323,6 +336,37 @@ def valid_mask(spark, sf_dir):
     return R.valid_mask(R.to_dense(reduce_points(part, grid, [Reduction("value", "max", band="v")]), grid))
 
 
+# the same three over all events
+
+
+@query(f"""WITH {P_EVENT}, {_covered(WIDE)}, s AS (SELECT "row", col, sum(value) AS v FROM c GROUP BY 1, 2), t AS (SELECT DISTINCT "row" // 5 AS tr, col // 40 AS tc FROM s)
+    SELECT a."row", a.col, round(CASE WHEN s.v IS NOT NULL THEN s.v WHEN t.tr IS NOT NULL THEN 0 END, 6) AS v
+    FROM all_cells a LEFT JOIN s USING ("row", col) LEFT JOIN t ON t.tr = a."row" // 5 AND t.tc = a.col // 40""")
+def dense_sum_touched_all(spark, sf_dir):
+    cloud = events(spark, sf_dir)
+    grid = covered(cloud, WIDE)
+    dense = R.to_dense(reduce_points(cloud, grid, [Reduction("value", "sum", band="v")]), grid, "touched_zero", ("v",))
+    return _round(dense.withColumn("v", F.when(~F.isnan("v"), F.col("v"))), "v")
+
+
+@query(f"""WITH {P_EVENT}, {_covered(EVENTS)}, j AS (SELECT avg(value) AS a, quantile_cont(value, 0.5) AS b, abs(a - b) AS d FROM c GROUP BY "row", col)
+    SELECT count(d) AS compared, round(max(d), 6) AS max_diff, round(avg(d), 6) AS mean_diff, count(*) FILTER (d > 1) AS above_tolerance,
+    count(*) FILTER (a IS NOT NULL AND b IS NULL) AS only_left, count(*) FILTER (a IS NULL AND b IS NOT NULL) AS only_right, above_tolerance = 0 AND only_left = 0 AND only_right = 0 AS passed FROM j""")
+def raster_diff_all(spark, sf_dir):
+    cloud = events(spark, sf_dir)
+    grid = covered(cloud, EVENTS)
+    both = [reduce_points(cloud, grid, [Reduction("value", kind, band="v")]) for kind in ("average", "median")]
+    return _round(R.raster_diff(*both, "v", tolerance=1.0), "max_diff", "mean_diff")
+
+
+@query(f"""WITH {P_EVENT}, {_covered(WIDE)}, s AS (SELECT "row", col, max(value) AS v FROM c GROUP BY 1, 2)
+    SELECT "row", col, CAST(v IS NOT NULL AS INTEGER) AS v FROM all_cells LEFT JOIN s USING ("row", col)""")
+def valid_mask_all(spark, sf_dir):
+    cloud = events(spark, sf_dir)
+    grid = covered(cloud, WIDE)
+    return R.valid_mask(R.to_dense(reduce_points(cloud, grid, [Reduction("value", "max", band="v")]), grid))
+
+
 @query(f"""{LINE}, s AS (SELECT "row", col, count(*) AS n FROM c GROUP BY 1, 2) SELECT * FROM s WHERE "row" % 3 = 0 AND col % 3 = 0""")
 def strided(spark, sf_dir):
     return R.strided(reduce_points(lineitem(spark, sf_dir), LINEITEM, [Reduction("value", "count", band="n")]), 3)
