@@ -14,6 +14,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +31,16 @@ TEMPLATES: dict[str, str] = {
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    "LGPL-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    "LGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "EPL-2.0-header": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
 }
 
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
@@ -97,14 +108,14 @@ def regions(words: list[str], vocabulary: frozenset[str], apart: int) -> list[tu
     return [(a, b + 1) for a, b in out]
 
 
-def best_match(words: list[str], template: list[str], apart: int, least: float) -> tuple[int, int, int]:
-    """(matched words, first, end) of the closest finding of the template; (0, 0, 0) if none reaches the coverage.
+def matches(words: list[str], template: list[str], apart: int, least: float) -> list[list[int]]:
+    """The places of the matched words of every finding of the template that reaches the coverage; findings may overlap.
 
-    A stretch that holds the template more than once has no unique words; it is halved at its middle, with an overlap of
-    the template's length, until it has.
+    What stands before and behind a finding is searched again.  A stretch that holds the template more than once has no
+    unique words; it is halved at its middle, with an overlap of the template's length, until it has.
     """
     need = least * len(template)
-    best = (0, 0, 0)
+    found: list[list[int]] = []
     work = regions(words, frozenset(template), apart)
     while work:
         a, b = work.pop()
@@ -112,17 +123,19 @@ def best_match(words: list[str], template: list[str], apart: int, least: float)
             continue
         clusters: list[list[int]] = []
         for i, _ in align(words[a:b], template):
-            if clusters and i - clusters[-1][-1] <= apart:
-                clusters[-1].append(i)
+            if clusters and a + i - clusters[-1][-1] <= apart:
+                clusters[-1].append(a + i)
             else:
-                clusters.append([i])
+                clusters.append([a + i])
         top = max(clusters, key=len, default=[])
         if len(top) >= need and 2 * len(top) >= top[-1] + 1 - top[0]:
-            best = max(best, (len(top), -(a + top[0]), a + top[-1] + 1))
-        elif b - a > 2 * len(template):
+            found.append(top)
+            work += [(a, top[0]), (top[-1] + 1, b)]
+        elif 4 * (b - a) > 5 * len(template):
             middle, lap = (a + b) // 2, len(template) // 2
-            work += [(a, middle + lap), (middle - lap, b)]
-    return (best[0], -best[1], best[2])
+            left, right = min(middle + lap, b - 1), max(middle - lap, a + 1)
+            work += [(a, left), (right, b)]
+    return found
 
 
 @lru_cache(maxsize=4)
@@ -131,38 +144,54 @@ def _prepared(templates: tuple[tuple[str, str], ...]):
     return [(name, w, Counter(w)) for name, w in out if w], frozenset(x for _, w in out for x in w)
 
 
-def scan(text: str, templates: tuple[tuple[str, str], ...], least: float, apart: int) -> tuple[str | None, float, int, int, int]:
-    """(license, coverage, matched words, first word, end word): most matched words win, then coverage, then template order."""
+def findings(text: str, templates: tuple[tuple[str, str], ...], least: float, apart: int) -> list[tuple[str, float, int, int, int]]:
+    """(license, coverage, matched words, first word, end word) of all findings, the closest first.
+
+    Most matched words win, then coverage, template order and the earlier place.  A word of the text counts for one
+    finding only; those that come later keep their other words, and are dropped if these don't reach the coverage.
+    """
     prepared, vocabulary = _prepared(templates)
     words = words_of(text)
     met = vocabulary.intersection(words)
-    best: tuple = (0, 0.0, 0, None, 0, 0)
-    for rank, (name, template, counts) in enumerate(prepared):
+    waiting = []
+    for rank, (_, template, counts) in enumerate(prepared):
         if sum(n for w, n in counts.items() if w in met) < least * len(template):
             continue  # the words that are there can't reach the coverage in any order
-        matched, first, end = best_match(words, template, apart, least)
-        if matched:
-            best = max(best, (matched, matched / len(template), -rank, name, first, end))
-    return best[3], best[1], best[0], best[4], best[5]
+        waiting += [(-len(at), len(template), rank, at) for at in matches(words, template, apart, least)]
+    heapify(waiting)
+    out, taken = [], set()
+    while waiting:
+        n, size, rank, at = heappop(waiting)
+        free = [i for i in at if i not in taken]
+        if len(free) == -n:
+            out.append((prepared[rank][0], len(at) / size, len(at), at[0], at[-1] + 1))
+            taken.update(at)
+        elif len(free) >= least * size:
+            heappush(waiting, (-len(free), size, rank, free))
+    return out
 
 
 def license_scan(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, least: float = 0.8, apart: int = 12
 ) -> DataFrame:
-    """One row per input row: id_col, license (null if none is found), coverage, matched_words, first_word, end_word.
+    """One row per input row: id_col, license (null if none is found), coverage, matched_words, first_word, end_word, findings.
 
-    least: share of a template's words that a finding must match.  apart: words that may stand between neighbouring
+    findings: all of the text as an array of structs with the same fields, the closest first, which is the one in the
+    columns before; empty if there is none.  Only the given templates are looked for.  least: share of a template's words that a finding must match.  apart: words that may stand between neighbouring
     matches.  Null text counts as empty; ids may be null or repeat; of equal findings the earliest counts.
     """
     kind = df.schema[id_col].dataType.simpleString()
     fixed = tuple(templates.items())
+    fields = {"license": pa.string(), "coverage": pa.float64(), "matched_words": pa.int32(), "first_word": pa.int32(), "end_word": pa.int32()}
+    none = (None, 0.0, 0, 0, 0)
 
     def find(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            found = [scan(t, fixed, least, apart) for t in batch.column(1).to_pylist()]
-            kinds = (pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
-            columns = [pa.array([f[k] for f in found], t) for k, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, "license", "coverage", "matched_words", "first_word", "end_word"])
+            found = [findings(t, fixed, least, apart) for t in batch.column(1).to_pylist()]
+            columns = [pa.array([f[0][k] if f else none[k] for f in found], t) for k, t in enumerate(fields.values())]
+            every = pa.array([[dict(zip(fields, x, strict=True)) for x in f] for f in found], pa.list_(pa.struct(list(fields.items()))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, every], [id_col, *fields, "findings"])
 
-    schema = f"`{id_col}` {kind}, license string, coverage double, matched_words int, first_word int, end_word int"
+    one = "license string, coverage double, matched_words int, first_word int, end_word int"
+    schema = f"`{id_col}` {kind}, {one}, findings array<struct<{one}>>"
     return df.select(F.col(id_col), text_of(df, text_col).alias("_text")).mapInArrow(find, schema)

@@ -69,3 +69,26 @@ def test_table(spark):
             assert (rows[doc_id].license in inside) if inside else True
         elif rows[doc_id].license:
             assert rows[doc_id].coverage < 1
+
+
+def test_all_findings(spark):
+    filler = " ".join(f"w{i}" for i in range(40))
+    mit, apache, gpl, notice = (TEMPLATES[k] for k in ("MIT", "Apache-2.0-header", "GPL-3.0-header", "Apache-2.0-notice"))
+    texts = [f"{mit} {filler} {apache} {filler} {gpl}", f"{mit} {apache}", f"x {notice} {filler} {notice} {notice} y {notice}", "", f"license the {mit} {mit} {mit} the software"]
+    texts += [mit.replace("subject to", f"{notice} subject to"), f"{gpl} {TEMPLATES['GPL-2.0-header']}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = [r for r in sorted(license_scan(df).collect())]
+    named = [[f.license for f in sorted(r.findings, key=lambda f: f.first_word)] for r in rows]
+    assert named == [
+        ["MIT", "Apache-2.0-header", "GPL-3.0-header"], ["MIT", "Apache-2.0-header"], ["Apache-2.0-notice"] * 4, [], ["MIT"] * 3,
+        ["MIT", "Apache-2.0-notice"], ["GPL-3.0-header", "GPL-2.0-header"],
+    ]
+    for r, text in zip(rows, texts, strict=True):
+        assert all(f.coverage > 0.95 and 0 <= f.first_word < f.end_word <= len(words_of(text)) for f in r.findings)
+        assert (r[1:6] == tuple(r.findings[0])) if r.findings else r.license is None
+
+
+def test_every_template_is_found_as_itself(spark):
+    df = spark.createDataFrame([(name, f"Copyright someone. {text} And more.") for name, text in TEMPLATES.items()], "doc_id string, text string")
+    assert all([f.license for f in r.findings] == [r.doc_id] and r.coverage == 1 for r in license_scan(df).collect())
+    assert {"GPL-2.0-header", "LGPL-2.1-header", "AGPL-3.0-header", "MPL-2.0-header", "EPL-2.0-header", "BSD-2-Clause", "BSD-3-Clause", "ISC-text"} <= TEMPLATES.keys()
