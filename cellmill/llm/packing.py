@@ -9,8 +9,8 @@ joined, so no length is ever gathered in one task.
 
 The search takes the largest length that is left, enumerates the fillings of
 the room beside it that no other filling dominates, best first, and prunes by
-the waste that a better solution may still have.  The best-fit filling is the
-first incumbent at each step.
+the waste that a better solution may still have.  The incumbent at its start is
+the complete solution of best fit decreasing.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -87,82 +89,105 @@ def fillings(room: int, lengths: list[int], left: dict[int, int], most: int = 4,
             return False
         return not any(spare(x) for own in used for x in lengths[bisect_right(lengths, own) : bisect_right(lengths, own + waste)])
 
-    good = [f for f in found if undominated(f)] or list(found)
-    return sorted(good, key=lambda f: (room - sum(f), len(f), [-x for x in f]))[:most]
+    ordered = sorted(found, key=lambda f: (room - sum(f), len(f), [-x for x in f]))
+    return list(islice(filter(undominated, ordered), most)) or ordered[:most]
 
 
-def complete(histogram: dict[int, int], capacity: int, tries: int = 200) -> list[Pattern]:
-    """Patterns that use up the histogram in as few sequences as the search finds.
+def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> list[Pattern]:
+    """Best fit of all pieces, longest first: each goes to the fullest sequence that has room for it.
 
-    tries: how many complete solutions the branch and bound looks at beyond the first; it ends before when a solution
-    meets the lower bound ceil(total / capacity).
+    Sequences of equal content are one group, so that the work depends on the lengths, not on the pieces.
     """
-    left = {k: v for k, v in histogram.items() if v > 0}
-    if any(k > capacity or k <= 0 for k in left):
+    groups: dict[int, dict[tuple[int, ...], int]] = {}  # by the room that is left
+    for x in sorted(histogram, reverse=True):
+        n, room = histogram[x], x
+        rooms = sorted(r for r in groups if r >= x)
+        while n > 0:
+            room = rooms.pop(0) if rooms else capacity
+            most = room // x  # a sequence that took one is the fullest for the next
+            here = groups.pop(room, {}) if room < capacity else {(): n}
+            for content, times in here.items():
+                full = min(n // most, times)
+                last = n - full * most if full < times and n - full * most < most else 0
+                n -= full * most + last
+                for k, count in ((most, full), (last, 1 if last else 0), (0, times - full - (1 if last else 0))):
+                    if count > 0 and (content or k):
+                        at = groups.setdefault(room - k * x, {})
+                        at[(*content, *[x] * k)] = at.get((*content, *[x] * k), 0) + count
+    return [(content, times) for room in sorted(groups) for content, times in groups[room].items()]
+
+
+def complete(histogram: dict[int, int], capacity: int, tries: int = 200, wide: int = 3) -> list[Pattern]:
+    """Patterns that use up the histogram in as few sequences as the search finds, at most those of best fit decreasing.
+
+    A limited-discrepancy search: every level may take another than its closest filling (the best ``wide`` count);
+    solutions with fewer such choices come first, and among them those that depart at the deepest level, since waste
+    arises at the end.  tries: how many descents it makes beyond the first; it ends before when a solution meets the
+    lower bound ceil(total / capacity).
+    """
+    whole = {k: v for k, v in histogram.items() if v > 0}
+    if any(k > capacity or k <= 0 for k in whole):
         raise ValueError("lengths must be between 1 and the capacity")
-    total = sum(k * v for k, v in left.items())
+    total = sum(k * v for k, v in whole.items())
     least = -(-total // capacity)
-    best: list[Pattern] | None = None
-    fewest = 0
-    # a depth-first search: each level holds its untried fillings, and what it took from the histogram
-    path: list[list] = []
-    waste = 0
+    best = best_fit_decreasing(whole, capacity)
+    fewest = sum(times for _, times in best)
 
-    def options(lengths: list[int], wide: bool) -> list[tuple[int, ...]]:
+    def options(left: dict[int, int], most: int) -> list[tuple[int, ...]]:
+        lengths = sorted(x for x, n in left.items() if n > 0)
         top = lengths[-1]
         left[top] -= 1
-        usable = [x for x in lengths if left[x] > 0]
-        got = fillings(capacity - top, usable, left, most=3 if wide else 1)
+        got = fillings(capacity - top, [x for x in lengths if left[x] > 0], left, most=most)
         left[top] += 1
         return [(top, *f) for f in got]
 
-    def take() -> bool:
-        nonlocal waste
-        untried = path[-1][0]
-        if not untried:
-            return False
-        pattern = untried.pop(0)
+    def use(left: dict[int, int], pattern: tuple[int, ...]) -> Pattern:
         need = Counter(pattern)
         times = min(left[x] // n for x, n in need.items())
         for x, n in need.items():
             left[x] -= n * times
-        path[-1][1:] = [pattern, times]
-        waste += (capacity - sum(pattern)) * times
-        return True
-
-    def undo() -> None:
-        nonlocal waste
-        _, pattern, times = path[-1]
-        if times:
-            for x, n in Counter(pattern).items():
-                left[x] += n * times
-            waste -= (capacity - sum(pattern)) * times
-            path[-1][1:] = [None, 0]
-
-    def down() -> None:
-        """To a leaf, or until no better solution can follow."""
+        return pattern, times
+
+    def descend(path: list[Pattern], left: dict[int, int]) -> None:
+        """By closest fillings to a solution, which is kept if it is the best, or to where none can be better."""
         nonlocal best, fewest
-        while True:
-            lengths = sorted(x for x, n in left.items() if n > 0)
-            if not lengths:
-                used = sum(p[2] for p in path)
-                if best is None or used < fewest:
-                    best, fewest = [(p[1], p[2]) for p in path], used
-                return
-            if best is not None and waste > (fewest - 1) * capacity - total:
+        waste = sum((capacity - sum(p)) * times for p, times in path)
+        while any(left.values()):
+            if waste > (fewest - 1) * capacity - total:
                 return
-            path.append([options(lengths, len(path) < 64), None, 0])
-            take()
-
-    down()
-    while fewest > least and tries > 0 and path:
-        undo()
-        if take():
-            tries -= 1
-            down()
-        else:
-            path.pop()
-    return best or []
+            path.append(use(left, options(left, 1)[0]))
+            waste += (capacity - sum(path[-1][0])) * path[-1][1]
+        if (used := sum(times for _, times in path)) < fewest:
+            best, fewest = list(path), used
+
+    # (choices made, -level to depart at, number of the descent): each level of a descent below its own departure
+    made: list[tuple[list[Pattern], dict[int, int], int]] = []
+    waiting: list[tuple[int, int, int]] = []
+
+    def follow(path: list[Pattern], left: dict[int, int], base: int, choices: int) -> None:
+        descend(path, left)
+        if len(path) > base:
+            made.append((path, left, base))
+            heappush(waiting, (choices, 1 - len(path), len(made) - 1))
+
+    if fewest > least:
+        follow([], dict(whole), 0, 1)
+    while fewest > least and tries > 0 and waiting:
+        choices, level, number = heappop(waiting)
+        path, rest, base = made[number]
+        level = -level
+        if level > base:
+            heappush(waiting, (choices, 1 - level, number))
+        left = dict(rest)
+        for pattern, times in path[level:]:
+            for x in pattern:
+                left[x] += times
+        for pattern in options(left, wide):
+            if pattern != path[level][0] and tries > 0 and fewest > least:
+                tries -= 1
+                other = dict(left)
+                follow([*path[:level], use(other, pattern)], other, level + 1, choices + 1)
+    return best
 
 
 def places(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int]]:
