@@ -16,7 +16,7 @@ the complete solution of best fit decreasing.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from heapq import heappop, heappush
@@ -49,12 +49,13 @@ def best_fit(room: int, lengths: list[int], left: dict[int, int]) -> tuple[int,
     return tuple(out)
 
 
-def fillings(room: int, lengths: list[int], left: dict[int, int], most: int = 4, nodes: int = 4000) -> list[tuple[int, ...]]:
+def fillings(room: int, lengths: list[int], left: dict[int, int], most: int = 4, nodes: int = 4000, spent: list[int] | None = None) -> list[tuple[int, ...]]:
     """Undominated fillings of the room, least waste first, then fewest and largest pieces.
 
     A filling that leaves room for another available piece is dominated by the one with that piece; one whose waste
     allows exchanging a piece for a longer one is dominated by the exchange.  Branches that cannot beat the waste of the
-    ``most``-th best so far are pruned; after ``nodes`` branches the search keeps what it has.
+    ``most``-th best so far are pruned, and of equal ones a few are held; after ``nodes`` branches the search keeps what it
+    has.  spent, if given, counts branches over many calls.
     """
     found = {best_fit(room, lengths, left)}
     bound = room - sum(next(iter(found)))
@@ -63,7 +64,7 @@ def fillings(room: int, lengths: list[int], left: dict[int, int], most: int = 4,
     def extend(chosen: tuple[int, ...], room_left: int, top: int, used: Counter) -> None:
         nonlocal bound
         i = bisect_right(lengths, min(top, room_left)) - 1
-        if len(chosen) >= 1 and (i < 0 or room_left <= bound):
+        if len(chosen) >= 1 and (i < 0 or room_left <= bound) and (room_left < bound or len(found) < 4 * most):
             found.add(chosen)
             bound = min(bound, room_left) if len(found) >= most else bound
         while i >= 0 and budget[0] > 0:
@@ -79,6 +80,8 @@ def fillings(room: int, lengths: list[int], left: dict[int, int], most: int = 4,
 
     if bound or most > 1:
         extend((), room, room, Counter())
+    if spent is not None:
+        spent[0] += nodes - budget[0]
 
     def undominated(f: tuple[int, ...]) -> bool:
         waste, used = room - sum(f), Counter(f)
@@ -117,13 +120,14 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> list[Patter
     return [(content, times) for room in sorted(groups) for content, times in groups[room].items()]
 
 
-def complete(histogram: dict[int, int], capacity: int, tries: int = 200, wide: int = 3) -> list[Pattern]:
+def complete(histogram: dict[int, int], capacity: int, tries: int = 200, wide: int = 3, nodes: int = 1_000_000) -> list[Pattern]:
     """Patterns that use up the histogram in as few sequences as the search finds, at most those of best fit decreasing.
 
     A limited-discrepancy search: every level may take another than its closest filling (the best ``wide`` count);
     solutions with fewer such choices come first, and among them those that depart at the deepest level, since waste
     arises at the end.  tries: how many descents it makes beyond the first; it ends before when a solution meets the
-    lower bound ceil(total / capacity).
+    lower bound ceil(total / capacity), or when it has taken ``nodes`` branches and levels.  All of this depends on the
+    number of lengths, at most the capacity, and not on the number of pieces.
     """
     whole = {k: v for k, v in histogram.items() if v > 0}
     if any(k > capacity or k <= 0 for k in whole):
@@ -133,29 +137,38 @@ def complete(histogram: dict[int, int], capacity: int, tries: int = 200, wide: i
     best = best_fit_decreasing(whole, capacity)
     fewest = sum(times for _, times in best)
 
-    def options(left: dict[int, int], most: int) -> list[tuple[int, ...]]:
-        lengths = sorted(x for x, n in left.items() if n > 0)
+    spent = [0]
+
+    def options(left: dict[int, int], lengths: list[int], most: int) -> list[tuple[int, ...]]:
+        """lengths: those of which some are left, ascending."""
         top = lengths[-1]
         left[top] -= 1
-        got = fillings(capacity - top, [x for x in lengths if left[x] > 0], left, most=most)
+        got = fillings(capacity - top, lengths if left[top] else lengths[:-1], left, most=most, spent=spent)
         left[top] += 1
+        spent[0] += 1
         return [(top, *f) for f in got]
 
-    def use(left: dict[int, int], pattern: tuple[int, ...]) -> Pattern:
+    def use(left: dict[int, int], lengths: list[int], pattern: tuple[int, ...]) -> Pattern:
         need = Counter(pattern)
         times = min(left[x] // n for x, n in need.items())
         for x, n in need.items():
             left[x] -= n * times
+            if not left[x]:
+                del lengths[bisect_left(lengths, x)]
         return pattern, times
 
+    def there(left: dict[int, int]) -> list[int]:
+        return sorted(x for x, n in left.items() if n > 0)
+
     def descend(path: list[Pattern], left: dict[int, int]) -> None:
         """By closest fillings to a solution, which is kept if it is the best, or to where none can be better."""
         nonlocal best, fewest
         waste = sum((capacity - sum(p)) * times for p, times in path)
-        while any(left.values()):
-            if waste > (fewest - 1) * capacity - total:
+        lengths = there(left)
+        while lengths:
+            if waste > (fewest - 1) * capacity - total or spent[0] > nodes:
                 return
-            path.append(use(left, options(left, 1)[0]))
+            path.append(use(left, lengths, options(left, lengths, 1)[0]))
             waste += (capacity - sum(path[-1][0])) * path[-1][1]
         if (used := sum(times for _, times in path)) < fewest:
             best, fewest = list(path), used
@@ -172,7 +185,7 @@ def complete(histogram: dict[int, int], capacity: int, tries: int = 200, wide: i
 
     if fewest > least:
         follow([], dict(whole), 0, 1)
-    while fewest > least and tries > 0 and waiting:
+    while fewest > least and tries > 0 and waiting and spent[0] <= nodes:
         choices, level, number = heappop(waiting)
         path, rest, base = made[number]
         level = -level
@@ -182,11 +195,11 @@ def complete(histogram: dict[int, int], capacity: int, tries: int = 200, wide: i
         for pattern, times in path[level:]:
             for x in pattern:
                 left[x] += times
-        for pattern in options(left, wide):
+        for pattern in options(left, there(left), wide):
             if pattern != path[level][0] and tries > 0 and fewest > least:
                 tries -= 1
                 other = dict(left)
-                follow([*path[:level], use(other, pattern)], other, level + 1, choices + 1)
+                follow([*path[:level], use(other, there(other), pattern)], other, level + 1, choices + 1)
     return best
 
 
