@@ -29,7 +29,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellmill.llm.bpe import codec
+from cellmill.llm.bpe_table import lists
 from cellmill.llm.common import text_of, written
+from cellmill.llm.splits import spread
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -218,34 +220,52 @@ def places(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int]]:
 
 
 def token_pieces(
-    df: DataFrame, path: str, pattern: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0
+    df: DataFrame,
+    path: str,
+    pattern: str,
+    capacity: int = 2048,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    end_id: int = 0,
+    added: bool = True,
+    ids: bool = False,
 ) -> DataFrame:
-    """The pieces of each document: id_col, piece, start, length, ids_crc32, ids array<int>, and the place of the row in
-    its task (part, rank among the task's pieces of this length).
+    """The pieces of each document: id_col, piece, start, length, ids_crc32, with ids also ids array<int>, and the place of
+    the row in its task (_part, _rank among the task's pieces of this length).
 
-    A document that is longer than the capacity is cut from its end, so that all pieces but the first are full.
-    Null text counts as empty: the end id alone.  Ids may be null or repeat.
+    A document that is longer than the capacity is cut from its end, so that all pieces but the first are full.  added:
+    strings of the vocabulary's added tokens become their ids.  Null text counts as empty: the end id alone.  Ids may be
+    null or repeat; an empty table has no pieces; a very long text is held as a whole with its ids.
     """
     kind = df.schema[id_col].dataType.simpleString()
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, end, part, seen = codec(path, pattern), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), Counter()
+        c, part, seen = codec(path, pattern, added), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in rows:
             for at in range(0, batch.num_rows, 512):
-                some, row, piece, start, length, crc, rank = batch.slice(at, 512), [], [], [], [], [], []
-                for i, ids in enumerate(c.encode_batch(some.column(1).to_pylist())):
-                    ids += end
-                    n = len(ids) // 4
-                    edges = [0, *range(n - (n - 1) // capacity * capacity, n + 1, capacity)]
-                    for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-                        row.append(i), piece.append(k), start.append(a), length.append(b - a), rank.append(seen[b - a])
-                        crc.append(zlib.crc32(ids[4 * a : 4 * b]))
-                        seen[b - a] += 1
-                columns = [some.column(0).take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64())]
-                columns += [pa.array(crc, pa.int64()), pa.array([part] * len(row), pa.int32()), pa.array(rank, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, [id_col, "piece", "start", "length", "ids_crc32", "_part", "_rank"])
-
-    schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, _part int, _rank long"
+                some = batch.slice(at, 512)
+                flat, edges = c.encode_batch(some.column(1).to_pylist(), end_id)
+                n = np.diff(edges)
+                pieces = (n - 1) // capacity + 1
+                row = np.repeat(np.arange(len(n)), pieces)
+                piece = spread(np.zeros(len(n), np.int64), pieces)
+                first = n - (pieces - 1) * capacity
+                start = np.where(piece > 0, first[row] + (piece - 1) * capacity, 0)
+                length = np.where(piece > 0, capacity, first[row])
+                order = np.argsort(length, kind="stable")
+                rank = np.empty(len(row), np.int64)
+                kinds, counts = np.unique(length, return_counts=True)
+                rank[order] = spread(seen[kinds], counts)
+                seen[kinds] += counts
+                begin = edges[row] + start
+                raw = memoryview(flat.astype("<u4", copy=False).tobytes())
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
+                columns = [some.column(0).take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), pa.array(start), pa.array(length)]
+                columns += [pa.array(crc, pa.int64()), *([lists(flat, np.append(begin, len(flat)))] if ids else [])]
+                columns += [pa.array(np.full(len(row), part, np.int32)), pa.array(rank)]
+                yield pa.RecordBatch.from_arrays(columns, [id_col, "piece", "start", "length", "ids_crc32", *["ids"] * ids, "_part", "_rank"])
+
+    schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long," + " ids array<int>," * ids + " _part int, _rank long"
     return df.select(F.col(id_col), text_of(df, text_col).alias("_text")).mapInArrow(cut, schema)
 
 
@@ -254,6 +274,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, tries: int = 200) -> DataFrame
 
     pieces is written once: ranks count rows of a task, and must not be made anew when an executor is lost.
     The histogram has at most ``capacity`` rows and the list of places is of that order; both pass through the driver.
+    The first rank of each length in each task grows with the number of tasks: it is joined by a shuffle, of which a
+    reader holds its share as a hash table.  An empty table gives an empty result.
     """
     spark = pieces.sparkSession
     pieces = written(pieces, "pieces")
@@ -270,3 +292,10 @@ def pack(pieces: DataFrame, capacity: int = 2048, tries: int = 200) -> DataFrame
     return placed.withColumn("sequence_id", F.col("_sequence") + F.col("_rank") - F.col("_lo")).select(
         *[c for c in pieces.columns if not c.startswith("_")], "sequence_id", "offset"
     )
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """sequence_id, ids array<int> of each sequence: the ids of its pieces in the order of their places.  packed must have
+    the column ids (see token_pieces).  A sequence is at most the capacity long, whatever the corpus."""
+    pieces = F.array_sort(F.collect_list(F.struct("offset", "ids")))
+    return packed.groupBy("sequence_id").agg(F.flatten(F.transform(pieces, lambda x: x["ids"])).alias("ids"))

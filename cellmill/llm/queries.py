@@ -49,12 +49,13 @@ def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cellmill.llm.bpe_table import bpe_encode
 
     path, pattern = _vocabulary("byte_bpe_50k.tiktoken")
-    coded = bpe_encode(table(spark, sf_dir, "documents"), path, pattern, offsets=False, decoded=True)
+    coded = bpe_encode(table(spark, sf_dir, "documents"), path, pattern, offsets=True, decoded=True)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.coalesce(F.array_max("ends"), F.lit(0)).cast("long").alias("n_chars"),
     )
 
 

@@ -3,8 +3,9 @@
 A shard is: the ids of its documents one after another (16-bit where the
 vocabulary allows, else 32-bit, little-endian), then the Elias-Fano codes of
 the n + 1 document boundaries and of the document ids, then a JSON footer and
-its length.  Shards are ranges of ascending document id, so that shard order is
-corpus order; the manifest table holds one row per shard.
+its length.  A task writes a range of ascending document ids as one shard or,
+beyond a size, as several, so that shard order is corpus order; the manifest
+table holds one row per shard.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from cellmill.llm.common import new_path, open_shared, text_of, written
 
 MAGIC = b"CMTOKENS"
 _TAIL = struct.Struct("<I8s")
-MANIFEST = "shard int, path string, n_docs long, n_tokens long"
+MANIFEST = "shard long, path string, n_docs long, n_tokens long"
+PARTS = 1 << 32  # shard = task * PARTS + part of the task's range
 
 
 class ShardWriter:
@@ -37,20 +39,22 @@ class ShardWriter:
         self.fs, base = open_shared(folder)
         self.fs.create_dir(base, recursive=True)
         context = TaskContext.get()
-        self.name = f"{base}/shard-{shard:06d}.tok"
-        self.partial = f"{base}/_{shard:06d}-{context.taskAttemptId() if context else os.getpid()}"
+        self.name = f"{base}/shard-{shard // PARTS:06d}-{shard % PARTS:06d}.tok"
+        self.partial = f"{base}/_{shard:016d}-{context.taskAttemptId() if context else os.getpid()}"
         self.out = self.fs.open_output_stream(self.partial, compression=None)
         self.kind, self.nulls = "<u4" if wide else "<u2", 0
         self.ends, self.ids, self.n = [0], [], 0
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, ends: np.ndarray) -> None:
+        """Documents one after another; ends: where each ends in ids."""
+        if self.kind == "<u2" and len(ids) and int(ids.max()) > 0xFFFF:
+            raise ValueError("an id needs more than 16 bits")
         self.out.write(ids.astype(self.kind).tobytes())
+        self.ends += (self.n + ends).tolist()
         self.n += len(ids)
-        self.ends.append(self.n)
-        if doc_id is None:
-            self.nulls += 1
-        else:
-            self.ids.append(doc_id)
+        named = [i for i in doc_ids if i is not None]
+        self.nulls += len(doc_ids) - len(named)
+        self.ids += named
 
     def close(self) -> int:
         least = self.ids[0] if self.ids else 0
@@ -101,31 +105,54 @@ class ShardReader:
 
 
 def write_tokens(
-    df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, wide: bool = False
+    df: DataFrame,
+    path: str,
+    pattern: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    end_id: int = 2,
+    added: bool = True,
+    shard_tokens: int = 1 << 28,
 ) -> DataFrame:
     """Encodes all texts, writes them as shards under the shared folder in ascending id order and returns the manifest
     (shard, path, n_docs, n_tokens) as a written table.
 
-    Each document ends with end_id.  Null text counts as empty: the end id alone.  Rows with null ids come first; rows
-    that repeat an id stand next to each other.  An empty table has no shards.
+    Each document ends with end_id.  added: strings of the vocabulary's added tokens become their ids.  A shard is closed
+    once it has shard_tokens ids; ids take 32 bits each if the vocabulary or end_id needs more than 16.  Null text counts
+    as empty: the end id alone.  Rows with null ids come first; rows that repeat an id stand next to each other, in any
+    order.  An empty table has no shards.  A very long text is held as a whole with its ids by the task that encodes it.
     """
     spark = df.sparkSession
     folder = new_path(spark, "tokens")
 
     def write(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, out, shard = codec(path, pattern), None, TaskContext.get().partitionId()
+        c, out, shard, made = codec(path, pattern, added), None, TaskContext.get().partitionId() * PARTS, []
+        wide = max(c.size - 1, end_id) > 0xFFFF
+
+        def close() -> None:
+            n = out.close()
+            made.append((shard, out.name.rsplit("/", 1)[-1], n, out.n))
+
         for batch in rows:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                out = out or ShardWriter(folder, shard, wide)
-                for doc_id, ids in zip(some.column(0).to_pylist(), c.encode_batch(some.column(1).to_pylist()), strict=True):
-                    out.add(doc_id, np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id)))
+                names = some.column(0).to_pylist()
+                ids, edges = c.encode_batch(some.column(1).to_pylist(), end_id)
+                first = 0
+                while first < len(names):
+                    out = out or ShardWriter(folder, shard, wide)
+                    # up to the document that reaches the size
+                    last = first + int(np.searchsorted(edges[first + 1 :], edges[first] + shard_tokens - out.n)) + 1
+                    out.add(names[first:last], ids[edges[first] : edges[min(last, len(names))]], edges[first + 1 : last + 1] - edges[first])
+                    first = last
+                    if out.n >= shard_tokens:
+                        close()
+                        out, shard = None, shard + 1
         if out:
-            n = out.close()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([out.name.rsplit("/", 1)[-1]]), pa.array([n], pa.int64()), pa.array([out.n], pa.int64())],
-                ["shard", "path", "n_docs", "n_tokens"],
-            )
+            close()
+        if made:
+            columns = [pa.array(x, t) for x, t in zip(zip(*made, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "path", "n_docs", "n_tokens"])
 
     rows = df.select(F.col(id_col).cast("long").alias("_id"), text_of(df, text_col).alias("_text"))
     made = rows.repartitionByRange("_id").sortWithinPartitions("_id").mapInArrow(write, MANIFEST)

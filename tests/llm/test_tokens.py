@@ -12,12 +12,12 @@ from hypothesis import strategies as st
 
 from cellmill.llm import elias_fano
 from cellmill.llm.common import table
-from cellmill.llm.packing import complete, pack, places, token_pieces
+from cellmill.llm.packing import complete, pack, places, sequences, token_pieces
 
 P = pytest.importorskip("public_tokenizers")
 JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
 ODD = [
-    None, "", " ", "\n\n\n", "a", "I'm we'll DON'T", "<|endoftext|> x", "naïve ß 漢字 😀👩‍👩‍👧", "tab\tx\x0b\x0c\x1c\x85\xa0 y",
+    None, "", " ", "\n\n\n", "a", "I'm we'll DON'T", "<|endoftext|> x", "a<|endoftext|>b<|endoftext|><|endoftext|>", " <|endoftext|>\n<|endoftext|", "naïve ß 漢字 😀👩‍👩‍👧", "tab\tx\x0b\x0c\x1c\x85\xa0 y",
     "ال́ 123 456abc", "word " * 9000, "x" * 30000, "a", "a",
 ]
 
@@ -31,6 +31,15 @@ def odd(spark):
 def library():
     from tokenizers import Tokenizer
 
+    t = Tokenizer.from_file(JSON)
+    return lambda text: t.encode(text or "", add_special_tokens=False).ids
+
+
+@pytest.fixture(scope="module")
+def ordinary():
+    """Strings of added tokens are ordinary text."""
+    from tokenizers import Tokenizer
+
     t = Tokenizer.from_file(JSON)
     t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
@@ -50,14 +59,52 @@ def fuzz():
     return ["".join(r.choice(pool) for _ in range(r.randint(0, 50))) for _ in range(3000)]
 
 
-def test_codec_is_the_libraries(library, ranks):
-    from cellmill.llm.bpe import codec
+def test_codec_is_the_libraries(library, ordinary, ranks):
+    from cellmill.llm.bpe import Codec, codec
+
+    one, two, three = codec(JSON, P.PATTERN), codec(RANKS, P.PATTERN), Codec(JSON, P.PATTERN, added=True)
+    four = Codec(JSON, P.PATTERN + "|$^")  # by a regular expression
+    texts = [*fuzz(), *(t or "" for t in ODD)]
+    for text in texts:
+        assert one.encode(text).tolist() == ordinary(text)
+        assert two.encode(text).tolist() == ranks(text)
+        assert three.encode(text).tolist() == library(text)
+        assert four.encode(text).tolist() == ordinary(text)
+        for c in (two, three):
+            assert c.decode(c.encode(text)) == text.encode()
+    ids, edges = three.encode_batch(texts, 7)
+    assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:], strict=False)] == [[*library(t), 7] for t in texts]
+    with pytest.raises(IndexError):
+        two.decode(np.array([50256]))
+
+
+def test_blocks_and_forgetting(ranks, monkeypatch):
+    from cellmill.llm import bpe
+
+    monkeypatch.setattr(bpe, "BLOCK", 64)
+    monkeypatch.setattr(bpe, "KNOWN", 300)
+    c = bpe.Codec(RANKS, P.PATTERN)
+    texts = [*fuzz(), "word  two\t" * 300, "it's " * 90, "x" * 500 + " y"]
+    for _ in range(2):
+        ids, edges = c.encode_batch(texts)
+        assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:], strict=False)] == list(map(ranks, texts))
+    assert c.known.n < 1200
+
+
+def test_table_keeps_what_was_met_again():
+    from cellmill.llm.splits import Table
 
-    one, two = codec(JSON, P.PATTERN), codec(RANKS, P.PATTERN)
-    for text in [*fuzz(), *(t or "" for t in ODD)]:
-        assert np.frombuffer(one.encode(text), "<u4").tolist() == library(text)
-        assert np.frombuffer(two.encode(text), "<u4").tolist() == ranks(text)
-        assert two.decode(two.encode(text)) == text.encode()
+    t, r = Table(bits=8), np.random.default_rng(2)
+    k = np.unique(r.integers(1, 1 << 60, (100, 2)).astype(np.uint64), axis=0)
+    ends = np.cumsum(r.integers(1, 5, len(k)))
+    values = np.arange(ends[-1], dtype=np.uint32)
+    slot = t.put(k, values, ends)
+    assert (t.find(k) == slot).all() and (t.find(k + np.uint64(1)) < 0).all()
+    t.met[slot[:30]] = True
+    t.forget()
+    assert t.n == 30 and (t.find(k[30:]) < 0).all()
+    got, count = t.gather(t.find(k[:30]))
+    assert (got == values[: ends[29]]).all() and (np.cumsum(count) == ends[:30]).all()
 
 
 def test_encode_offsets_and_decode(spark, odd, ranks):
@@ -123,7 +170,8 @@ def test_token_files(spark, sf, odd, library):
     docs = [(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()]
     got = sorted(map(tuple, op7_token_files(spark, sf).collect()))
     assert got == expected_tokens(docs, library, 2)
-    manifest = write_tokens(odd, JSON, P.PATTERN, wide=True)
+    manifest = write_tokens(odd, JSON, P.PATTERN, shard_tokens=8)
+    assert manifest.where("n_docs > 1").count() and manifest.count() > 3
     rows = read_tokens(manifest).orderBy("start").collect()
     assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in rows] == expected_tokens([(i if i != 3 else None, t) for i, t in enumerate(ODD)], library, 2)
     at = 0
@@ -132,6 +180,9 @@ def test_token_files(spark, sf, odd, library):
         for i in range(shard.n_docs):
             assert reader.document(i).tolist() == rows[at].ids
             at += 1
+    wide = write_tokens(odd, JSON, P.PATTERN, end_id=70_257)
+    ends = [r.ids[-1] for r in read_tokens(wide).collect()]
+    assert ends == [70_257] * len(ODD)
     empty = write_tokens(odd.where("false"), JSON, P.PATTERN)
     assert empty.count() == 0 and read_tokens(empty).count() == 0
 
@@ -212,12 +263,19 @@ def check_packed(rows, docs, library, capacity):
     return len(at), sum(map(len, ids.values()))
 
 
-def test_packing(spark, sf, odd, library):
+def test_packing(spark, sf, odd, library, ordinary):
     from cellmill.llm.queries import op9_best_fit_packing
 
     docs = [(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()]
     n, total = check_packed(op9_best_fit_packing(spark, sf).collect(), docs, library, 2048)
     assert n == -(-total // 2048)
     named = [(i if i != 3 else None, t) for i, t in enumerate(ODD)]
-    check_packed(pack(token_pieces(odd, JSON, P.PATTERN, 64), 64).collect(), named, library, 64)
+    packed = pack(token_pieces(odd, JSON, P.PATTERN, 64, ids=True), 64)
+    rows = packed.collect()
+    check_packed(rows, named, library, 64)
+    assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
+    whole = {r.sequence_id: r.ids for r in sequences(packed).collect()}
+    assert whole == {i: [x for r in sorted((r for r in rows if r.sequence_id == i), key=lambda r: r.offset) for x in r.ids] for i in whole}
+    ordinary_ = pack(token_pieces(odd, JSON, P.PATTERN, 64, added=False), 64)
+    check_packed(ordinary_.collect(), named, ordinary, 64)
     assert pack(token_pieces(odd.where("false"), JSON, P.PATTERN)).count() == 0
