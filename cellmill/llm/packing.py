@@ -286,7 +286,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, tries: int = 200) -> DataFrame
     where = spark.createDataFrame(plan, "_length long, _lo long, _hi long, _sequence long, offset long")
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("_part", "length", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    ranked = pieces.join(bases, ["_part", "length"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
+    ranked = pieces.join(bases.hint("shuffle_hash"), ["_part", "length"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
     found = (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi"))
     placed = ranked.join(F.broadcast(where), found)  # as many rows as lengths and patterns, whatever the corpus
     return placed.withColumn("sequence_id", F.col("_sequence") + F.col("_rank") - F.col("_lo")).select(
