@@ -50,7 +50,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens in as few sequences as the search finds."""
     import public_tokenizers
 
-    return pack(token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, CAPACITY, end_id=0), CAPACITY)
+    return pack(token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, CAPACITY, end_id=0, added=False), CAPACITY)
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("repeats", repeats), ("packing", packing)]
