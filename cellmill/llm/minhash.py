@@ -25,33 +25,11 @@ from pyspark.sql import functions as F
 
 from cellmill.llm.common import scratch, slots, text_of, written
 from cellmill.llm.components import connected_components
+from cellmill.llm.splits import hashed, mix
 
 U = np.uint64
-_BASE = U(0x9E3779B97F4A7C15 | 1)
-_INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BASE = U(0x9E3779B97F4A7C15)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_BYTES = np.random.default_rng(11).integers(1, 1 << 63, 256).astype(U) * U(2) + U(1)
-_POWERS: list[np.ndarray] = []
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """The finalizer of splitmix64."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of each."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
-        out = []
-        for base in (_BASE, _INVERSE):
-            p = np.full(size, base, U)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        _POWERS[:] = out
-    return _POWERS[0], _POWERS[1]
 
 
 @dataclass(frozen=True)
@@ -76,7 +54,8 @@ class MinHashParams:
 
 
 def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text.  Texts with fewer words than a shingle have one, of all their words."""
+    """The sorted distinct 64-bit shingle hashes of each text.  Texts with fewer words than a shingle have one, of all their
+    words.  A text is held as a whole, with some 10 bytes per byte and 60 per word."""
     raws = [t.encode("utf-8", "surrogatepass").translate(_LOWER) for t in texts]
     out: list[np.ndarray] = []
     at = 0
@@ -92,16 +71,14 @@ def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
 
 def _block(raws: list[bytes], words: int) -> list[np.ndarray]:
     joined = np.frombuffer(b"\n".join(raws) + b"\n", np.uint8)
-    up, down = powers(len(joined))
     gap = (joined == 0x20) | ((joined >= 0x09) & (joined <= 0x0D))
     before = np.concatenate([[True], gap[:-1]])
     begin, end = np.flatnonzero(~gap & before), np.flatnonzero(gap & ~before)
-    sums = np.concatenate([np.zeros(1, U), np.cumsum(_BYTES[joined] * up[: len(joined)])])
-    hashed = mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(U))
+    named = hashed(joined, begin, end)
     edges = np.searchsorted(begin, np.cumsum([0] + [len(r) + 1 for r in raws]))
     out = []
     for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False):
-        own = hashed[a:b]
+        own = named[a:b]
         k = min(words, len(own))
         if not k:
             out.append(np.zeros(0, U))
@@ -324,7 +301,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Letters A-Z count as a-z and words are parted by ASCII white space.  Texts without words, null ones too, have no
     shingles and are linked with nothing.  Rows with a null id are linked with nothing and kept, with a null component.
-    Rows that repeat an id share its component.
+    Rows that repeat an id share its component.  An empty table gives an empty result; see shingle_sets for very long texts.
     """
     with scratch(df.sparkSession) as s:
         signed, joined = _components(df, id_col, text_col, p)

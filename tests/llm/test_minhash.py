@@ -84,6 +84,14 @@ def test_groups_and_odd_rows(spark):
             assert sorted(map(tuple, got.collect())) == brute(rows, k, similar)
 
 
+def test_words_that_a_polynomial_would_confuse(spark):
+    """The Thue-Morse word and its complement have equal hashes under every polynomial modulo 2**64."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = word.translate({97: "b", 98: "a"})
+    df = spark.createDataFrame([(1, word), (2, other), (3, word * 64), (4, other * 64)], "doc_id long, text string")
+    assert sorted(map(tuple, near_duplicates(df).collect())) == [(i, 1, i, True) for i in (1, 2, 3, 4)]
+
+
 def test_nulls_repeats_and_empty(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, None)], "doc_id long, text string")
     got = sorted(map(tuple, near_duplicates(df).collect()), key=repr)

@@ -4,9 +4,10 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from cellmill.llm.suffixes import NO_ID, RepeatParams, _ids_in, _ids_out, repeated_bytes
+from cellmill.llm.suffixes import NO_ID, RepeatParams, _ids_in, _ids_out, repeated, repeated_bytes
 
 
 def brute(rows, depth):
@@ -41,8 +42,8 @@ def test_small_alphabets(spark, seed):
     r = random.Random(seed)
     rows = [(r.randrange(40), "".join(r.choice("ab" if seed else "abcé") for _ in range(r.randrange(0, 60)))) for _ in range(80)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for depth, gram in ((8, 3), (12, 11), (6, 1)):
-        p = RepeatParams(depth=depth, gram=gram, held_runs=50, bucket_runs=40, group_mb=0.0007)
+    for depth, gram, many in ((8, 3, 4), (12, 11, 10_000), (6, 1, 20)):
+        p = RepeatParams(depth=depth, gram=gram, held_runs=50, bucket_runs=40, anchor_runs=many, group_mb=0.0007)
         assert found(df, p) == brute(rows, depth)
 
 
@@ -58,10 +59,48 @@ def test_passages_copies_and_odd_rows(spark):
     df = spark.createDataFrame([(*x, "k") for x in rows], "doc_id long, text string, home string")
     want = brute(rows, 50)
     assert found(df, RepeatParams()) == want
-    assert found(df, RepeatParams(held_runs=300, bucket_runs=500, group_mb=0.01)) == want
+    assert found(df, RepeatParams(held_runs=300, bucket_runs=500, anchor_runs=3, group_mb=0.01)) == want
     assert repeated_bytes(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("depth", [1, 7, 8, 9, 50])
+def test_radix_passes(depth):
+    r = np.random.default_rng(depth)
+    raw = np.concatenate([r.integers(0, 2, 300), np.tile(r.integers(0, 256, 60), 5), np.zeros(90, np.int64)]).astype(np.uint8)
+    starts = r.permutation(len(raw) - depth + 1)[:400]
+    ids = r.integers(-3, 12, len(starts))
+    gone, one = repeated(raw, starts, ids, depth)
+    groups: dict[bytes, list[int]] = {}
+    for k, at in enumerate(starts):
+        groups.setdefault(raw[at : at + depth].tobytes(), []).append(k)
+    for rows in groups.values():
+        least = min(ids[rows])
+        assert gone[rows].tolist() == (ids[rows] > least).tolist()
+        several = len(set(ids[rows])) > 1
+        assert one[rows].sum() == (1 if several else len(rows)) and (ids[rows][one[rows]] == least).all()
+    assert all(len(x) == 0 for x in repeated(raw, starts[:0], ids[:0], depth))
+
+
+def test_anchor_of_many_contexts_is_dealt_out(spark):
+    """A passage shorter than a window in texts that are otherwise random: nothing repeats, and no bucket holds all."""
+    import cellmill.llm.suffixes as m
+
+    r = random.Random(6)
+    text = lambda n: "".join(chr(97 + r.randrange(26)) for _ in range(n))
+    passage = text(40)
+    rows = [(i, text(30) + passage + text(30)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(not spans for _, _, spans, _ in found(df, RepeatParams(anchor_runs=50)))
+    sent = m._send_windows(RepeatParams(), 16, 1)
+    table = pa.table({"_id": pa.array([i for i, _ in rows]), "_text": [t for _, t in rows]})
+    raws = [t.encode() for _, t in rows]
+    gram, context, doc, _, _ = m.Block(raws, RepeatParams()).runs()
+    hot = m._answers(doc, m._run_key(gram, context), 1, m.HOT)
+    out = sent(table, pa.table({"blob": pa.array([b for _, b in hot], pa.binary())}))
+    sizes = [len(m._unpack(b, 4)[1]) // 8 for b in out.column("blob").to_pylist()]
+    assert len(sizes) == 16 and max(sizes) < 2 * sum(sizes) / 16
+
+
 def test_query(spark, sf):
     from cellmill.llm.queries import op8_repeated_bytes
 
