@@ -47,6 +47,57 @@ def test_batches_replace_and_merge(spark, cloud, tmp_path):
         StateStore(spark, str(tmp_path), GRID, [Reduction("v", "median")])
 
 
+def test_redelivery_after_compaction_counts_once(spark, cloud, tmp_path):
+    store = StateStore(spark, str(tmp_path), GRID, RS)
+    for k in (0, 1, 3):
+        assert store.ingest(cloud.where(F.col("id") % 4 == k), k)
+    store.compact()
+    assert not store.ingest(cloud.where("id % 4 = 1"), 1)
+    assert store.ingest(cloud.where("id % 4 = 2"), 2) and store.batches() == [-1, 2]
+    assert rows(store.result()) == rows(reduce_points(cloud, GRID, RS))
+    store.compact()
+    store.compact()
+    assert store.batches() == [-2] and rows(store.result()) == rows(reduce_points(cloud, GRID, RS))
+    again = StateStore(spark, str(tmp_path), GRID, RS, resume=True)
+    assert not any(again.ingest(cloud, k) for k in range(4)) and rows(again.result()) == rows(store.result())
+    with pytest.raises(ValueError):
+        store.ingest(cloud, -2)
+
+
+@pytest.mark.parametrize("step", ["write", "rename", "delete 0", "delete 1", "delete 2"])
+def test_crash_in_compaction(spark, cloud, tmp_path, monkeypatch, step):
+    """Whatever the step that fails, the states are those before, and the next compaction ends well."""
+    store = StateStore(spark, str(tmp_path), GRID, RS)
+    store.ingest(cloud.where("id < 100"), 0)
+    store.compact()
+    store.ingest(cloud.where("id >= 100"), 1)
+    want = rows(reduce_points(cloud, GRID, RS))
+    left = [int(step[-1]) if step.startswith("delete") else 0]
+
+    def fail(own):
+        def go(*args):
+            if left[0] == 0:
+                raise OSError("crash")
+            left[0] -= 1
+            return own(*args)
+
+        return go
+
+    name = {"write": "_write", "rename": "_rename"}.get(step, "_delete")
+    with monkeypatch.context() as m:
+        m.setattr(store, name, fail(getattr(store, name)))
+        with pytest.raises(OSError):
+            store.compact()
+    again = StateStore(spark, str(tmp_path), GRID, RS, resume=True)
+    assert rows(again.result()) == want
+    again.ingest(cloud.where("id >= 100"), 1)
+    assert rows(again.result()) == want
+    again.compact()
+    assert rows(again.result()) == want and len(again.batches()) == 1
+    left = sorted(x for x in __import__("os").listdir(tmp_path / "reduction_id=default") if not x.startswith("."))
+    assert left == sorted(["_kept", f"_base{again.batches()[0]}", f"batch_id={again.batches()[0]}"])
+
+
 def test_stream(spark, cloud, tmp_path):
     cloud.repartition(5).write.parquet(str(tmp_path / "in"))
     store, heard = StateStore(spark, str(tmp_path / "state"), GRID, RS), []
