@@ -4,7 +4,7 @@ from cellmill.functions.crs import CRS
 from cellmill.functions.filters import FilterSpec, Predicate
 from cellmill.functions.grid import BBox, GridSpec
 from cellmill.functions.reductions import CustomReduction, Reduction
-from cellmill.operators.glyphs import GlyphSpec, gaussian_glyph, gaussian_splat, line_glyph, line_splat, splat
+from cellmill.operators.glyphs import GlyphSpec, custom_glyph, gaussian_glyph, gaussian_splat, line_glyph, line_splat, splat
 from cellmill.operators.raster import fill, from_numpy, overview, overview_levels, pyramid, raster_diff, raster_stats, strided, to_dense, to_numpy, valid_mask
 from cellmill.operators.reduce import finalize_states, merge_states, partial_states, reduce_points, tile_batches, tile_counts
 from cellmill.plans.pipeline import Pipeline, PipelineConfig, ProgressInfo

@@ -8,6 +8,7 @@ inside code generation and partial aggregation takes them up before any shuffle.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,7 +23,7 @@ LEAST_WEIGHT = 1e-6
 
 @dataclass(frozen=True)
 class GlyphSpec:
-    """kind: point, gaussian or line.
+    """kind: point, gaussian, line or custom.
 
     Channels give a parameter per point; where one is absent or null the default counts, for sigmas also where it isn't
     positive.  Lengths are in world units, angles in radians; direction 0 is east and pi/2 north.
@@ -31,6 +32,8 @@ class GlyphSpec:
     clip_to_tile: a footprint stays in the tile of its point; False lets it cross tile borders.
     anchor: ``corner`` measures from a cell's upper left corner and rounds line ends, ``center`` from its centre.
     strict_radius: both sigmas and both halves of a line obey max_radius; otherwise only their x parts do.
+    kernel, radius: a custom footprint is the square of 2 * radius + 1 cells around the point's; kernel makes a cell's weight, a
+    column, of the columns of its distances from the point to the right and downward, in cells.
     """
 
     kind: str = "point"
@@ -49,10 +52,14 @@ class GlyphSpec:
     clip_to_tile: bool = True
     anchor: str = "corner"
     strict_radius: bool = False
+    kernel: Callable[[Column, Column], Column] | None = None
+    radius: int = 0
 
     def check(self) -> None:
-        if self.kind not in ("point", "gaussian", "line"):
+        if self.kind not in ("point", "gaussian", "line", "custom"):
             raise ValueError(f"unknown glyph {self.kind!r}")
+        if self.kind == "custom" and (self.kernel is None or self.radius < 0):
+            raise ValueError("a custom glyph needs a kernel and a radius of at least 0")
         if self.anchor not in ("corner", "center"):
             raise ValueError("anchor is 'corner' or 'center'")
 
@@ -69,6 +76,10 @@ def line_glyph(direction: float = 0.0, half_length: float = 1.0, **kw) -> GlyphS
     return GlyphSpec("line", default_direction=direction, default_half_length=half_length, **kw)
 
 
+def custom_glyph(kernel: Callable[[Column, Column], Column], radius: int, **kw) -> GlyphSpec:
+    return GlyphSpec("custom", kernel=kernel, radius=radius, **kw)
+
+
 def gaussian_splat(value: str, sigma: float = 1.0, sigma_x: float | None = None, sigma_y: float | None = None, band: str | None = None, **kw) -> Reduction:
     """The weighted average of a channel under Gaussian footprints; channels and other options as in GlyphSpec."""
     return Reduction(value, "weighted_average", band=band, glyph=gaussian_glyph(sigma, sigma_x, sigma_y, **kw))
@@ -93,7 +104,20 @@ def _inside(grid: GridSpec, glyph: GlyphSpec, row: Column, col: Column) -> Colum
     return ok
 
 
-def _gaussian(df: DataFrame, grid: GridSpec, glyph: GlyphSpec) -> tuple[DataFrame, Column, Column, Column]:
+#: Columns with what a footprint needs, how many places it has, and row, column and weight of the k-th.
+Footprint = tuple[DataFrame, Column, Callable[[Column], tuple[Column, Column, Column]]]
+
+
+def _offsets(glyph: GlyphSpec, k: Column, radius: Column) -> tuple[Column, Column, Column, Column]:
+    """Of the k-th cell of a square: row and column, and the distances of the point to its corner or centre, in cells."""
+    n = 2 * radius + 1
+    dx, dy = k % n - radius, F.floor(k / n) - radius
+    half = 0.5 if glyph.anchor == "center" else 0.0
+    rx, ry = dx + half - (F.col("_fc") - F.col("_ic")), dy + half - (F.col("_fr") - F.col("_ir"))
+    return (F.col("_ir") + dy).cast("int"), (F.col("_ic") + dx).cast("int"), rx, ry
+
+
+def _gaussian(df: DataFrame, grid: GridSpec, glyph: GlyphSpec) -> Footprint:
     sx = _parameter(df, glyph.sigma_x_channel, glyph.default_sigma_x, True) / grid.cell_x
     sy = _parameter(df, glyph.sigma_y_channel, glyph.default_sigma_y, True) / grid.cell_y
     rotation = _parameter(df, glyph.rotation_channel, glyph.default_rotation)
@@ -102,17 +126,27 @@ def _gaussian(df: DataFrame, grid: GridSpec, glyph: GlyphSpec) -> tuple[DataFram
         "_ic": F.floor("_fc"), "_ir": F.floor("_fr"), "_sx": sx, "_sy": sy, "_cos": F.cos(-rotation), "_sin": F.sin(-rotation),
         "_r": F.ceil(F.least(3.0 * widest, F.lit(float(glyph.max_radius)))).cast("int"),
     })
-    n = 2 * F.col("_r") + 1
-    df = df.withColumn("_k", F.explode(F.sequence(F.lit(0), n * n - 1)))
-    dx, dy = F.col("_k") % n - F.col("_r"), F.floor(F.col("_k") / n) - F.col("_r")
-    half = 0.5 if glyph.anchor == "center" else 0.0
-    rx, ry = dx + half - (F.col("_fc") - F.col("_ic")), dy + half - (F.col("_fr") - F.col("_ir"))
-    u, v = rx * F.col("_cos") - ry * F.col("_sin"), rx * F.col("_sin") + ry * F.col("_cos")
-    a, b = u / F.col("_sx"), v / F.col("_sy")
-    return df, (F.col("_ir") + dy).cast("int"), (F.col("_ic") + dx).cast("int"), F.exp(-0.5 * (a * a + b * b))
 
+    def cell(k: Column) -> tuple[Column, Column, Column]:
+        row, col, rx, ry = _offsets(glyph, k, F.col("_r"))
+        u, v = rx * F.col("_cos") - ry * F.col("_sin"), rx * F.col("_sin") + ry * F.col("_cos")
+        a, b = u / F.col("_sx"), v / F.col("_sy")
+        return row, col, F.exp(-0.5 * (a * a + b * b))
+
+    return df, (2 * F.col("_r") + 1) * (2 * F.col("_r") + 1), cell
+
+
+def _custom(df: DataFrame, grid: GridSpec, glyph: GlyphSpec) -> Footprint:
+    df = df.withColumns({"_ic": F.floor("_fc"), "_ir": F.floor("_fr")})
 
-def _line(df: DataFrame, grid: GridSpec, glyph: GlyphSpec) -> tuple[DataFrame, Column, Column, Column]:
+    def cell(k: Column) -> tuple[Column, Column, Column]:
+        row, col, rx, ry = _offsets(glyph, k, F.lit(glyph.radius))
+        return row, col, glyph.kernel(rx, ry).cast("double")
+
+    return df, F.lit((2 * glyph.radius + 1) ** 2), cell
+
+
+def _line(df: DataFrame, grid: GridSpec, glyph: GlyphSpec) -> Footprint:
     direction = _parameter(df, glyph.direction_channel, glyph.default_direction)
     half = _parameter(df, glyph.half_length_channel, glyph.default_half_length)
     cap = F.lit(float(glyph.max_radius))
@@ -122,73 +156,49 @@ def _line(df: DataFrame, grid: GridSpec, glyph: GlyphSpec) -> tuple[DataFrame, C
     ox, oy = hx * F.cos(direction), hy * F.sin(direction)
     df = df.withColumns({"_x0": end(F.col("_fc") - ox), "_y0": end(F.col("_fr") - oy), "_x1": end(F.col("_fc") + ox), "_y1": end(F.col("_fr") + oy)})
     ax, ay = F.abs(F.col("_x1") - F.col("_x0")), F.abs(F.col("_y1") - F.col("_y0"))
-    df = df.withColumns({"_ax": ax, "_ay": ay, "_n": F.greatest(ax, ay)}).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n"))))
-    # the step of an integer line along either axis, halves upward
-    along = lambda a: F.when(F.col("_n") == 0, 0).otherwise(F.floor((2 * F.col("_k") * F.col(a) + F.col("_n")) / F.greatest(2 * F.col("_n"), F.lit(1))))
-    x = F.col("_x0") + F.signum(F.col("_x1") - F.col("_x0")) * along("_ax")
-    y = F.col("_y0") + F.signum(F.col("_y1") - F.col("_y0")) * along("_ay")
-    return df, y.cast("int"), x.cast("int"), F.lit(1.0)
+    df = df.withColumns({"_ax": ax, "_ay": ay, "_n": F.greatest(ax, ay)})
+
+    def cell(k: Column) -> tuple[Column, Column, Column]:
+        # the step of an integer line along either axis, halves upward
+        along = lambda a: F.when(F.col("_n") == 0, 0).otherwise(F.floor((2 * k * F.col(a) + F.col("_n")) / F.greatest(2 * F.col("_n"), F.lit(1))))
+        x = F.col("_x0") + F.signum(F.col("_x1") - F.col("_x0")) * along("_ax")
+        y = F.col("_y0") + F.signum(F.col("_y1") - F.col("_y0")) * along("_ay")
+        return y.cast("int"), x.cast("int"), F.lit(1.0)
+
+    return df, F.col("_n") + 1, cell
 
 
 def splat(points: DataFrame, grid: GridSpec, glyph: GlyphSpec, x: str = "x", y: str = "y") -> DataFrame:
     """points inside the bounds, once for each cell of their footprint, with row, col and w.
 
-    A point outside the bounds contributes nothing, even where its footprint would reach in.
+    A point outside the bounds contributes nothing, even where its footprint would reach in.  A normalized footprint is an
+    array of the point's row first, so that its sum needs no shuffle.
     """
     glyph.check()
     inside = grid.assign(points, x, y)
     if glyph.kind == "point":
         return inside.withColumn("w", F.lit(1.0))
-    own = inside.columns[:-2]
+    own = [F.col(f"`{c}`") for c in inside.columns[:-2]]
     placed = inside.withColumns({"_tile_row": grid.tile_row(), "_tile_col": grid.tile_col()}).drop("row", "col")
-    if glyph.normalize:
-        placed = placed.withColumn("_point", F.monotonically_increasing_id())
     placed = placed.withColumns({"_fc": grid.fractional_col(x), "_fr": grid.fractional_row(y)})
+    df, n, cell = {"gaussian": _gaussian, "line": _line, "custom": _custom}[glyph.kind](placed, grid, glyph)
+    every = F.sequence(F.lit(0).cast("long"), (n - 1).cast("long"))
+    kept = lambda row, col, w: (w >= LEAST_WEIGHT) & _inside(grid, glyph, row, col)
     if not glyph.normalize:
-        df, row, col, w = (_gaussian if glyph.kind == "gaussian" else _line)(placed, grid, glyph)
-        out = df.select(*[F.col(f"`{c}`") for c in own], "_tile_row", "_tile_col", row.alias("row"), col.alias("col"), w.alias("w"))
-        return out.where((F.col("w") >= LEAST_WEIGHT) & _inside(grid, glyph, F.col("row"), F.col("col"))).drop("_tile_row", "_tile_col")
-    return _normalized(placed, own, grid, glyph)
-
-
-def _normalized(placed: DataFrame, own: list[str], grid: GridSpec, glyph: GlyphSpec) -> DataFrame:
-    """The footprint as an array of the point's row, so that its sum needs no shuffle."""
-    if glyph.kind == "line":
-        df, row, col, w = _line(placed, grid, glyph)
-        cells = df.select(*[F.col(f"`{c}`") for c in own], "_point", "_tile_row", "_tile_col", row.alias("row"), col.alias("col"), w.alias("w"))
-        cells = cells.where(_inside(grid, glyph, F.col("row"), F.col("col")))
-        # the cells of a point come from one row, so counting them is the closed form of their sum
-        from pyspark.sql import Window
-
-        total = F.sum("w").over(Window.partitionBy("_point"))
-        return cells.withColumn("w", F.col("w") / total).drop("_point", "_tile_row", "_tile_col")
-    sx = _parameter(placed, glyph.sigma_x_channel, glyph.default_sigma_x, True) / grid.cell_x
-    sy = _parameter(placed, glyph.sigma_y_channel, glyph.default_sigma_y, True) / grid.cell_y
-    rotation = _parameter(placed, glyph.rotation_channel, glyph.default_rotation)
-    widest = F.greatest(F.abs(sx), F.abs(sy)) if glyph.strict_radius else F.greatest(sx, sy)
-    df = placed.withColumns({
-        "_ic": F.floor("_fc"), "_ir": F.floor("_fr"), "_sx": sx, "_sy": sy, "_cos": F.cos(-rotation), "_sin": F.sin(-rotation),
-        "_r": F.ceil(F.least(3.0 * widest, F.lit(float(glyph.max_radius)))).cast("int"),
-    })
-    n = 2 * F.col("_r") + 1
-    half = 0.5 if glyph.anchor == "center" else 0.0
-
-    def cell(k: Column) -> Column:
-        dx, dy = k % n - F.col("_r"), F.floor(k / n) - F.col("_r")
-        rx, ry = dx + half - (F.col("_fc") - F.col("_ic")), dy + half - (F.col("_fr") - F.col("_ir"))
-        u, v = rx * F.col("_cos") - ry * F.col("_sin"), rx * F.col("_sin") + ry * F.col("_cos")
-        a, b = u / F.col("_sx"), v / F.col("_sy")
-        return F.struct((F.col("_ir") + dy).cast("int").alias("row"), (F.col("_ic") + dx).cast("int").alias("col"), F.exp(-0.5 * (a * a + b * b)).alias("w"))
-
-    cells = F.filter(F.transform(F.sequence(F.lit(0), n * n - 1), cell), lambda c: (c["w"] >= LEAST_WEIGHT) & _inside(grid, glyph, c["row"], c["col"]))
-    df = df.select(*[F.col(f"`{c}`") for c in own], cells.alias("_cells"))
+        df = df.withColumn("_k", F.explode(every))
+        row, col, w = cell(F.col("_k"))
+        out = df.select(*own, "_tile_row", "_tile_col", row.alias("row"), col.alias("col"), w.alias("w"))
+        return out.where(kept(F.col("row"), F.col("col"), F.col("w"))).drop("_tile_row", "_tile_col")
+    cells = F.transform(every, lambda k: F.struct(*[c.alias(name) for c, name in zip(cell(k), ("row", "col", "w"), strict=True)]))
+    df = df.select(*own, F.filter(cells, lambda c: kept(c["row"], c["col"], c["w"])).alias("_cells"))
     df = df.withColumn("_sum", F.aggregate("_cells", F.lit(0.0), lambda s, c: s + c["w"]))
-    df = df.select(*[F.col(f"`{c}`") for c in own], "_sum", F.inline("_cells"))
-    return df.withColumn("w", F.col("w") / F.col("_sum")).drop("_sum")
+    return df.select(*own, "_sum", F.inline("_cells")).withColumn("w", F.col("w") / F.col("_sum")).drop("_sum")
 
 
 def footprint_rows(glyph: GlyphSpec, grid: GridSpec) -> int:
     """Rows per point with default parameters: what the explode multiplies the input by."""
+    if glyph.kind == "custom":
+        return (2 * glyph.radius + 1) ** 2
     if glyph.kind == "gaussian":
         widest = max(glyph.default_sigma_x / grid.cell_x, abs(glyph.default_sigma_y / grid.cell_y) if glyph.strict_radius else 0)
         return (2 * math.ceil(min(3 * widest, glyph.max_radius)) + 1) ** 2

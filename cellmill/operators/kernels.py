@@ -7,6 +7,10 @@ point is shuffled and rows only leave for cells, not for points times cells.
 Windows have bounded size: points that lie further apart are split, and a window
 is sent when the next points would stretch it too far.  The final aggregation
 merges states, whatever task or window they come from.
+
+Points without any order in space make every task's window as large as the grid.
+Where that is more than the points themselves, they are dealt out by ranges of
+cells first (``deal``), so that each task has a window of its own.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cellmill.functions.grid import GridSpec
 from cellmill.operators.glyphs import LEAST_WEIGHT, GlyphSpec
@@ -73,6 +78,15 @@ class _Points:
         r, g = self.reach, self.grid
         return max(0, int(self.row.min()) - r), min(g.height, int(self.row.max()) + r + 1), max(0, int(self.col.min()) - r), min(g.width, int(self.col.max()) + r + 1)
 
+    def clear(self) -> np.ndarray:
+        """Points whose footprint lies wholly in the grid and, where it is clipped, in the point's tile."""
+        g = self.grid
+        if self.glyph.kind != "gaussian":
+            return np.zeros(self.n, bool)
+        up, left = (self.row // g.tile_height * g.tile_height, self.col // g.tile_width * g.tile_width) if self.glyph.clip_to_tile else (0, 0)
+        down, right = (np.minimum(up + g.tile_height, g.height), np.minimum(left + g.tile_width, g.width)) if self.glyph.clip_to_tile else (g.height, g.width)
+        return (self.ir - self.r >= up) & (self.ir + self.r < down) & (self.ic - self.r >= left) & (self.ic + self.r < right)
+
     def split(self) -> Iterator[np.ndarray]:
         """Masks of two halves along the longer side."""
         a, b, c, d = self.box()
@@ -98,13 +112,23 @@ class _Points:
                 y = self.y0[on] + np.sign(self.y1[on] - self.y0[on]) * ((2 * k * self.ay[on] + self.steps[on]) // n)
                 yield on, y, x, 1.0
             return
+        for dy, dx, w in self.weights():
+            ok = w > 0
+            if ok.all():
+                yield None, self.ir + dy, self.ic + dx, w
+            elif ok.any():
+                on = np.flatnonzero(ok)
+                yield on, self.ir[on] + dy, self.ic[on] + dx, w[on]
+
+    def weights(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(row step, column step, weight of every point) of Gaussian footprints; 0 where a point has no such cell."""
         r = self.reach
         straight = bool((self.sin == 0).all())
         same = bool((self.r == r).all())
         if straight:
             side = [np.exp(-0.5 * ((d + self.ox) / self.sx) ** 2) for d in range(-r, r + 1)]
         for dy in range(-r, r + 1):
-            ry, y = dy + self.oy, self.ir + dy
+            ry = dy + self.oy
             up = np.exp(-0.5 * (ry / self.sy) ** 2) if straight else None
             for dx in range(-r, r + 1):
                 if straight:
@@ -112,14 +136,12 @@ class _Points:
                 else:
                     rx = dx + self.ox
                     w = np.exp(-0.5 * (((rx * self.cos - ry * self.sin) / self.sx) ** 2 + ((rx * self.sin + ry * self.cos) / self.sy) ** 2))
-                ok = w >= LEAST_WEIGHT
+                few = w < LEAST_WEIGHT
                 if not same:
-                    ok &= self.r >= max(abs(dx), abs(dy))
-                if ok.all():
-                    yield None, y, self.ic + dx, w
-                elif ok.any():
-                    on = np.flatnonzero(ok)
-                    yield on, y[on], self.ic[on] + dx, w[on]
+                    few |= self.r < max(abs(dx), abs(dy))
+                if few.any():
+                    w = np.where(few, 0.0, w)
+                yield dy, dx, w
 
     def inside(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """cells() within the grid and, where footprints are clipped, within the point's tile."""
@@ -149,6 +171,39 @@ class _Window:
         self.sums = {v: (np.zeros(size), np.zeros(size)) for v in values}
 
     def add(self, p: _Points) -> None:
+        clear = p.clear() if not p.glyph.normalize else np.zeros(p.n, bool)
+        if clear.any():
+            part = p.take(clear)
+            part.known = {v: part.values.get(f"{v}?") for v in self.sums}
+            self._add_whole(part)
+            if clear.all():
+                return
+            known, p = p.known, p.take(~clear)
+            p.known = {v: None if k is None else p.values[f"{v}?"] for v, k in known.items()}
+        self._add(p)
+
+    def _add_whole(self, p: _Points) -> None:
+        """Gaussian footprints that nothing cuts: points of a cell are added up before they meet the window."""
+        a, _, c, d = self.box
+        order = np.argsort((p.ir - a) * (d - c) + (p.ic - c), kind="stable")
+        known = p.known
+        p = p.take(order)
+        base = (p.ir - a) * (d - c) + (p.ic - c)
+        first = np.flatnonzero(np.concatenate([[True], base[1:] != base[:-1]]))
+        base = base[first]
+        values = {v: (p.values[v] if known[v] is None else np.where(p.values[f"{v}?"], p.values[v], 0.0)) for v in self.sums}
+        for dy, dx, w in p.weights():
+            at = base + (dy * (d - c) + dx)
+            ok = w > 0
+            every = bool(ok.all())
+            some = slice(None) if every else np.logical_or.reduceat(ok, first)  # cells that are too far for all points of theirs
+            at = at[some]
+            self.touched[at] = True
+            for v, (weighted, weights) in self.sums.items():
+                weighted[at] += np.add.reduceat((values[v] if every else np.where(ok, values[v], 0.0)) * w, first)[some]
+                weights[at] += np.add.reduceat(w if known[v] is None else w * p.values[f"{v}?"], first)[some]
+
+    def _add(self, p: _Points) -> None:
         a, _, c, d = self.box
         scale = np.ones(p.n)
         if p.glyph.normalize:
@@ -183,10 +238,23 @@ class _Window:
         return pa.RecordBatch.from_arrays(out, names)
 
 
-def splat_sums(points: DataFrame, grid: GridSpec, glyph: GlyphSpec, values: list[str], x: str, y: str) -> DataFrame:
+def deal(points: DataFrame, grid: GridSpec, x: str, y: str) -> tuple[DataFrame, bool]:
+    """points, and whether they are now dealt out by ranges of cells: if the estimated bytes of the points are fewer than
+    those of a window of each task that reads them.  Points of one cell may go to several tasks, so no cell is too many.
+    """
+    spark = points.sparkSession
+    size = int(str(points._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks = max(spark.sparkContext.defaultParallelism, size >> 27)
+    if size > tasks * 24 * grid.height * grid.width:
+        return points, False
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return points.repartitionByRange(parts, grid.cell_id(grid.row(y), grid.col(x)), F.xxhash64(*points.columns)), True
+
+
+def splat_sums(points: DataFrame, grid: GridSpec, glyph: GlyphSpec, values: list[str], x: str, y: str, dealt: bool = False) -> DataFrame:
     """row, col and, of each value channel, the sums <value>__vw and <value>__w of weighted values and weights.
 
-    A cell may come in several rows.  points needs double columns only.
+    A cell may come in several rows.  points needs double columns only.  dealt: the points of a task lie close together.
     """
     names = points.columns
 
@@ -218,8 +286,12 @@ def splat_sums(points: DataFrame, grid: GridSpec, glyph: GlyphSpec, values: list
                         yield window.rows()
                         window = None
                 if window is None:
-                    # the whole grid where it is small, so that one window serves all points of the task
-                    window = _Window((0, grid.height, 0, grid.width) if grid.height * grid.width <= WINDOW else (a, b, c, d), values)
+                    if dealt:  # the next points of the task lie about here
+                        more = (b - a) // 8
+                        wide = max(0, a - more), min(grid.height, b + more), 0, grid.width
+                    else:  # the whole grid where it is small, so that one window serves all points of the task
+                        wide = 0, grid.height, 0, grid.width
+                    window = _Window(wide if (wide[1] - wide[0]) * grid.width <= WINDOW else (a, b, c, d), values)
                 step = max(1, AT_ONCE // (2 * p.reach + 1))
                 if p.n <= step:
                     window.add(p)

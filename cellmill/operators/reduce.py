@@ -12,8 +12,8 @@ from pyspark.sql.types import NumericType
 from cellmill.functions.filters import FilterSpec
 from cellmill.functions.grid import GridSpec
 from cellmill.functions.reductions import Reduction
+from cellmill.operators import kernels
 from cellmill.operators.glyphs import GlyphSpec, footprint_rows, splat
-from cellmill.operators.kernels import splat_sums
 
 KEYS = ["row", "col"]
 #: Measured: from about this many cells of a footprint on, windows beat rows.
@@ -55,13 +55,14 @@ def _needed(points: DataFrame, reductions: list[Reduction], glyph: GlyphSpec, x:
 
 def _dense(glyph: GlyphSpec, grid: GridSpec) -> bool:
     own_size = glyph.sigma_x_channel or glyph.half_length_channel
-    return glyph.kind != "point" and (bool(own_size) or footprint_rows(glyph, grid) >= DENSE_CELLS)
+    return glyph.kind in ("gaussian", "line") and (bool(own_size) or footprint_rows(glyph, grid) >= DENSE_CELLS)
 
 
 def _summed(narrow: DataFrame, grid: GridSpec, glyph: GlyphSpec, own: list[Reduction], x: str, y: str) -> DataFrame:
     values = list(dict.fromkeys(r.value for r in own))
     points = narrow.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in narrow.columns if c in {x, y, *values, *glyph.channels()}])
-    sums = splat_sums(points.where(grid.in_bounds(x, y)), grid, glyph, values, x, y)
+    points, dealt = kernels.deal(points.where(grid.in_bounds(x, y)), grid, x, y)
+    sums = kernels.splat_sums(points, grid, glyph, values, x, y, dealt)
     states = []
     for r in own:
         vw, w = F.sum(f"`{r.value}__vw`"), F.sum(f"`{r.value}__w`")
@@ -88,7 +89,7 @@ def partial_states(points: DataFrame, grid: GridSpec, reductions: list[Reduction
     parts = []
     for glyph, own in by.items():
         narrow, own, glyph = _needed(points, own, glyph, x, y)
-        if dense if dense is not None else _dense(glyph, grid):
+        if glyph.kind in ("gaussian", "line") and (dense if dense is not None else _dense(glyph, grid)):
             parts.append(_summed(narrow, grid, glyph, own, f"_ch_{x}", f"_ch_{y}"))
             continue
         spread = splat(narrow, grid, glyph, f"_ch_{x}", f"_ch_{y}")

@@ -7,7 +7,7 @@ import pytest
 
 from cellmill.functions.grid import GridSpec
 from cellmill.functions.reductions import Reduction
-from cellmill.operators.glyphs import GlyphSpec, footprint_rows, gaussian_glyph, line_glyph, splat
+from cellmill.operators.glyphs import GlyphSpec, custom_glyph, footprint_rows, gaussian_glyph, line_glyph, splat
 from cellmill.operators import kernels
 from cellmill.operators.reduce import finalize_states, partial_states, reduce_points
 
@@ -197,3 +197,49 @@ def test_windows_of_bounded_size(points, monkeypatch):
         totals.append((len(out), sums))
     assert totals[0][0] == 1 < totals[1][0] and totals[0][1].keys() == totals[1][1].keys()
     assert all(totals[1][1][k] == pytest.approx(v) for k, v in totals[0][1].items())
+
+
+def test_custom_kernel(spark, points):
+    """A cone of radius 2.5 cells, by loops; and the Gaussian written as a kernel."""
+    from pyspark.sql import functions as F
+
+    rows, df = points
+    cone = custom_glyph(lambda dx, dy: F.greatest(1 - F.sqrt(dx * dx + dy * dy) / 2.5, F.lit(0.0)), 3, normalize=True)
+    got = {(r.id, r.row, r.col): r.w for r in splat(df, GRID, cone).collect()}
+    want = {}
+    for i, x, y, *_ in rows:
+        if GRID.cell_of(x, y) is None:
+            continue
+        fc, fr, own = x, 15 - y, {}
+        r0, c0 = GRID.cell_of(x, y)
+        for r in range(math.floor(fr) - 3, math.floor(fr) + 4):
+            for c in range(math.floor(fc) - 3, math.floor(fc) + 4):
+                w = 1 - math.hypot(c - fc, r - fr) / 2.5
+                if w >= 1e-6 and 0 <= r < 15 and 0 <= c < 20 and (r // 6, c // 8) == (r0 // 6, c0 // 8):
+                    own[i, r, c] = w
+        want |= {k: w / sum(own.values()) for k, w in own.items()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    bell = custom_glyph(lambda dx, dy: F.exp(-0.5 * (dx * dx + dy * dy)), 3)
+    rs = lambda g: [Reduction("v", k, band=k, glyph=g) for k in ("sum", "weighted_average", "count")]
+    a, b = ({(r.row, r.col): tuple(r)[2:] for r in reduce_points(df, GRID, rs(g)).collect()} for g in (bell, gaussian_glyph(1.0)))
+    assert a.keys() == b.keys() and all(abs(x - y) < 1e-9 for k in a for x, y in zip(a[k], b[k], strict=True))
+    with pytest.raises(ValueError):
+        splat(df, GRID, GlyphSpec("custom"))
+    assert footprint_rows(cone, GRID) == 49
+
+
+def test_normalized_lines_need_no_shuffle(points):
+    plan = splat(points[1], GRID, line_glyph(0.3, 2.0, normalize=True))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("dealt", [True, False])
+@pytest.mark.parametrize("glyph", [gaussian_glyph(0.7), gaussian_glyph(1.3, clip_to_tile=False), gaussian_glyph(1.0, sigma_x_channel="sx", rotation_channel="rot"), line_glyph(0.8, 3.0)])
+def test_dealt_and_whole_windows(points, glyph, dealt, monkeypatch):
+    """Windows of dealt points and of unordered ones give what exploded rows give."""
+    monkeypatch.setattr(kernels, "deal", (lambda df, *_: (df, False)) if not dealt else kernels.deal)
+    df = points[1].repartition(3)
+    rs = [Reduction("v", k, band=k, glyph=glyph) for k in ("sum", "weighted_average", "count")]
+    a, b = ({(r.row, r.col): tuple(r)[2:] for r in finalize_states(partial_states(df, GRID, rs, dense=d), rs).collect()} for d in (True, False))
+    assert a.keys() == b.keys()
+    assert all((x is None) == (y is None) and (x is None or abs(x - y) < 1e-9) for k in a for x, y in zip(a[k], b[k], strict=True))
