@@ -68,7 +68,7 @@ class Pipeline:
         self.validate()
         c = config
         self._store = StateStore(spark, c.state_dir, c.grid, c.reductions, c.reduction_id, c.resume) if c.state_dir else None
-        self._next = max(self._store.batches(), default=-1) + 1 if self._store else 0
+        self._next = self._store.next_batch() if self._store else 0
         self._clouds: list[DataFrame] = []
         self._callback: Callable[[ProgressInfo], bool | None] | None = None
         self._collections = self._points = 0

@@ -194,9 +194,9 @@ def read_binary(spark: SparkSession, path: str, columns: list[str] | None = None
     return reader.load(path)
 
 
-def write_binary(points: DataFrame, folder: str, wkt: str = "") -> DataFrame:
-    """A file per partition in a folder that all executors see.  Returns path and points of each; a file gets its name when
-    it is whole."""
+def write_binary(points: DataFrame, folder: str, wkt: str = "", rows: int = 4_000_000) -> DataFrame:
+    """Files of about ``rows`` points at most, from each partition one or more, in a folder that all executors see.  Returns
+    path and points of each; a file gets its name when it is whole."""
     from pyspark import TaskContext
 
     folder = folder.removeprefix("file://")
@@ -204,14 +204,24 @@ def write_binary(points: DataFrame, folder: str, wkt: str = "") -> DataFrame:
     schema = points.select("x", "y", *rest).schema
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if held:
-            table, context = pa.Table.from_batches(held), TaskContext.get()
+        context, held, n, files = TaskContext.get(), [], 0, 0
+
+        def flush() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
             os.makedirs(folder, exist_ok=True)
-            path = f"{folder}/part-{context.partitionId():05d}{ENDING}"
+            path = f"{folder}/part-{context.partitionId():05d}-{files:05d}{ENDING}"
             write_cloud(f"{path}.{context.taskAttemptId()}", table, wkt)
             os.replace(f"{path}.{context.taskAttemptId()}", path)
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([table.num_rows], pa.int64())], ["path", "points"])
+            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([table.num_rows], pa.int64())], ["path", "points"])
+
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= rows:
+                yield flush()
+                held, n, files = [], 0, files + 1
+        if n:
+            yield flush()
 
     done = points.select(*schema.names).mapInArrow(write, "path string, points long").collect()
     return points.sparkSession.createDataFrame(done, "path string, points long")

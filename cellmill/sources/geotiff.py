@@ -1,14 +1,17 @@
 """GeoTIFF (BigTIFF) rasters in plain Python.
 
-Executors turn cells into compressed tiles; the driver takes them partition by
-partition and only appends them to the file, so it holds one partition of tiles
-at a time whatever the raster's size.
+Executors turn cells into compressed tiles and write them; only the list of tiles
+passes through the driver, which adds the directories.
 """
 
 from __future__ import annotations
 
+import functools
+import os
 import re
+import shutil
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,12 +19,13 @@ from xml.sax.saxutils import escape, unescape
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellmill.functions.crs import CRS
 from cellmill.functions.grid import BBox, GridSpec
-from cellmill.operators.raster import bands_of, overview, overview_levels
+from cellmill.operators.raster import bands_of, pyramid
 
 #: TIFF's compression codes.
 CODES = {"NONE": 1, "LZW": 5, "DEFLATE": 8, "ZSTD": 50000}
@@ -131,7 +135,58 @@ def tiles_of(raster: DataFrame, width: int, height: int, o: GeoTiffOptions) -> D
             out.append(_squeeze(block.tobytes(), o))
         return pa.table({"tile": group.column("tile")[:1], "bytes": pa.array([out], pa.list_(pa.binary()))})
 
-    return cells.groupBy("tile").applyInArrow(make, "tile long, bytes array<binary>").orderBy("tile")
+    return cells.groupBy("tile").applyInArrow(make, "tile long, bytes array<binary>")
+
+
+INDEX = "level int, tile long, band int, part string, at long, size long"
+
+
+def _save_tiles(tiles: DataFrame, folder: str) -> list:
+    """Writes level, tile, bytes into one file per task and returns where each tile lies: rows of INDEX.  A task that is
+    repeated writes another file, and only that of the attempt that counts is named."""
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        part, at, f = f"{context.partitionId():06d}-{context.taskAttemptId()}", 0, None
+        for batch in batches:
+            rows = []
+            for level, tile, packed in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if f is None:
+                    os.makedirs(folder, exist_ok=True)
+                    f = open(f"{folder}/{part}", "wb")
+                for band, raw in enumerate(packed):
+                    f.write(raw)
+                    rows.append((level, tile, band, part, at, len(raw)))
+                    at += len(raw)
+            if rows:
+                f.flush()
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["level", "tile", "band", "part", "at", "size"])
+        if f:
+            f.close()
+
+    return tiles.select("level", "tile", "bytes").mapInArrow(save, INDEX).collect()
+
+
+def _copy_parts(spark: SparkSession, folder: str, path: str, parts: list[tuple[str, int]], most: int = 32 << 20) -> None:
+    """Copies part files to their places in the file: many bytes by tasks, each one part, few by the driver."""
+
+    def copy(part: str, to: int) -> None:
+        with open(f"{folder}/{part}", "rb") as source, open(path, "r+b") as f:
+            f.seek(to)
+            shutil.copyfileobj(source, f, 1 << 22)
+
+    if sum(os.path.getsize(f"{folder}/{p}") for p, _ in parts) <= most:
+        for part, to in parts:
+            copy(part, to)
+        return
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, to in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                copy(part, to)  # the same bytes at the same place if it is repeated
+            yield batch
+
+    spark.createDataFrame(parts, "part string, at long").repartition(len(parts)).mapInArrow(work, "part string, at long").collect()
 
 
 class TiledGeoTiffWriter:
@@ -155,6 +210,15 @@ class TiledGeoTiffWriter:
         self.f.write(raw)
         return at
 
+    def reserve(self, size: int) -> int:
+        """A place of this size for bytes that others write before close."""
+        at = self.f.seek(0, 2)
+        self.f.truncate(at + size)
+        return at
+
+    def place(self, level: int, tile: int, band: int, at: int, size: int) -> None:
+        self.levels[level][2][band, tile] = (at, size)
+
     def write_packed(self, tile: int, packed: list[bytes]) -> None:
         for band, raw in enumerate(packed):
             self.levels[-1][2][band, tile] = (self._append(raw), len(raw))
@@ -226,16 +290,31 @@ class TiledGeoTiffWriter:
 
 
 def write_geotiff(raster: DataFrame, grid: GridSpec, path: str, options: GeoTiffOptions = GeoTiffOptions()) -> None:
-    """Float32 bands with their names, NaN as no data, geotransform, CRS and, with overviews, averaged levels."""
+    """Float32 bands with their names, NaN as no data, geotransform, CRS and, with overviews, averaged levels.
+
+    One job makes and compresses the tiles of all levels, each level from the sums and counts of the one before, and its
+    tasks write them beside the file; they then go to their places, and only their list passes through the driver.  All
+    executors must see the path.
+    """
+    levels = {1: raster} | (pyramid(raster, grid) if options.overviews else {})
+    sizes = [(-(-grid.width // n), -(-grid.height // n)) for n in levels]
+    tiles = [tiles_of(df, w, h, options).withColumn("level", F.lit(k)) for k, (df, (w, h)) in enumerate(zip(levels.values(), sizes, strict=True))]
+    plain = path.removeprefix("file://")
+    folder = f"{plain}.parts-{uuid.uuid4().hex}"
+    index = _save_tiles(functools.reduce(lambda a, b: a.unionByName(b), tiles), folder)
     writer = TiledGeoTiffWriter(path, grid, bands_of(raster), options)
-    for row in tiles_of(raster, grid.width, grid.height, options).toLocalIterator():
-        writer.write_packed(row["tile"], row["bytes"])
-    for level in overview_levels(grid) if options.overviews else []:
-        width, height = -(-grid.width // level), -(-grid.height // level)
+    for width, height in sizes[1:]:
         writer.level(width, height)
-        for row in tiles_of(overview(raster, level), width, height, options).toLocalIterator():
-            writer.write_packed(row["tile"], row["bytes"])
+    ends: dict[str, int] = {}
+    for r in index:
+        ends[r["part"]] = max(ends.get(r["part"], 0), r["at"] + r["size"])
+    places = {part: writer.reserve(size) for part, size in sorted(ends.items())}
+    for r in index:
+        writer.place(r["level"], r["tile"], r["band"], places[r["part"]] + r["at"], r["size"])
+    writer.f.flush()
+    _copy_parts(raster.sparkSession, folder, plain, list(places.items()))
     writer.close()
+    shutil.rmtree(folder, ignore_errors=True)
 
 
 @dataclass(frozen=True)
@@ -252,22 +331,23 @@ class GeoTiffInfo:
     levels: int
 
 
-def read_geotiff_info(path: str) -> GeoTiffInfo:
-    """Of classic and big TIFF, little-endian, tiled or in strips, float32, bands one after another."""
+def read_geotiff_info(path: str, level: int = 0) -> GeoTiffInfo:
+    """Of classic and big TIFF, little-endian, tiled or in strips, float32, bands one after another.  level: 0 for the raster
+    itself, 1, 2, ... for its overviews, which have the names and the box of the raster."""
     with open(path.removeprefix("file://"), "rb") as f:
         head = f.read(16)
         if head[:2] != b"II" or head[2] not in (42, 43):
             raise ValueError(f"{path}: no little-endian TIFF")
         big = head[2] == 43
         (at,) = struct.unpack_from("<Q", head, 8) if big else struct.unpack_from("<I", head, 4)
-        first, levels = None, 0
+        first, levels, whole = None, 0, {}
         while at:
             f.seek(at)
             (n,) = struct.unpack("<Q", f.read(8)) if big else struct.unpack("<H", f.read(2))
             size = 20 if big else 12
             raw = f.read(n * size)
             (after,) = struct.unpack("<Q", f.read(8)) if big else struct.unpack("<I", f.read(4))
-            if first is None:
+            if levels in (0, level):
                 first = {}
                 for k in range(n):
                     tag, kind = struct.unpack_from("<HH", raw, k * size)
@@ -280,15 +360,19 @@ def read_geotiff_info(path: str) -> GeoTiffInfo:
                         f.seek(struct.unpack_from("<Q" if big else "<I", raw, place)[0])
                         own = f.read(count * width)
                     first[tag] = own.rstrip(b"\0").decode() if kind == 2 else struct.unpack(f"<{count}{form}", own)
+                whole = whole or first
             levels, at = levels + 1, after
+    if not 0 <= level < levels:
+        raise IndexError(f"{path} has no level {level}")
     t = first
     w, h, nb = t[256][0], t[257][0], t.get(277, (1,))[0]
     if t.get(258, (0,))[0] != 32 or t.get(339, (1,))[0] != 3:
         raise ValueError(f"{path}: only float32 bands can be read")
     if nb > 1 and t.get(284, (1,))[0] != 2:
         raise ValueError(f"{path}: only separate bands can be read")
-    found = dict((int(i), unescape(n)) for i, n in re.findall(r'sample="(\d+)" role="description">([^<]*)<', t.get(42112, "")))
-    sx, sy = t[33550][:2] if 33550 in t else (1.0, 1.0)
+    found = dict((int(i), unescape(n)) for i, n in re.findall(r'sample="(\d+)" role="description">([^<]*)<', whole.get(42112, "")))
+    sx, sy = t[33550][:2] if 33550 in t else tuple(a * whole[k][0] / t[k][0] for a, k in zip(whole.get(33550, (1.0, 1.0))[:2], (256, 257), strict=True))
+    t = whole | t
     i, j, _, x, y, _ = t[33922][:6] if 33922 in t else (0, 0, 0, 0.0, 0.0, 0)
     x, y = x - i * sx, y + j * sy
     keys = t.get(34735, ())
@@ -314,8 +398,8 @@ def read_block(path: str, info: GeoTiffInfo, band: int, number: int) -> tuple[in
     return r, c, block[: info.height - r, : info.width - c]
 
 
-def read_geotiff_band(path: str, band: int = 0) -> np.ndarray:
-    info = read_geotiff_info(path)
+def read_geotiff_band(path: str, band: int = 0, level: int = 0) -> np.ndarray:
+    info = read_geotiff_info(path, level)
     out = np.full((info.height, info.width), np.nan, np.float32)
     for k in range(-(-info.width // info.tile[1]) * -(-info.height // info.tile[0])):
         r, c, block = read_block(path, info, band, k)
@@ -323,9 +407,9 @@ def read_geotiff_band(path: str, band: int = 0) -> np.ndarray:
     return out
 
 
-def read_geotiff(spark: SparkSession, path: str, skip_nan: bool = True) -> DataFrame:
-    """row, col and the bands, one task per few tiles.  All executors must see the path."""
-    info = read_geotiff_info(path)
+def read_geotiff(spark: SparkSession, path: str, skip_nan: bool = True, level: int = 0) -> DataFrame:
+    """row, col and the bands, one task per few tiles.  All executors must see the path.  level: see read_geotiff_info."""
+    info = read_geotiff_info(path, level)
     n = -(-info.width // info.tile[1]) * -(-info.height // info.tile[0])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -119,3 +119,35 @@ def write_las(path: str, x: np.ndarray, y: np.ndarray, z: np.ndarray, intensity:
     rec["i"], rec["c"], rec["f"] = intensity, classification, 1
     with open(path.removeprefix("file://"), "wb") as f:
         f.write(bytes(head) + rec.tobytes())
+
+
+def write_las_folder(points: DataFrame, folder: str, scale: float = 0.001, rows: int = 4_000_000) -> DataFrame:
+    """x, y, z, intensity and classification as LAS files of about ``rows`` points at most in a folder that all executors see.
+    Returns path and points of each; a file gets its name when it is whole."""
+    from pyspark import TaskContext
+
+    plain, names = folder.removeprefix("file://").rstrip("/"), ["x", "y", "z", "intensity", "classification"]
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context, held, n, files = TaskContext.get(), [], 0, 0
+
+        def flush() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            os.makedirs(plain, exist_ok=True)
+            path = f"{plain}/part-{context.partitionId():05d}-{files:05d}.las"
+            write_las(f"{path}.{context.taskAttemptId()}", *[table.column(c).to_numpy() for c in names], scale)
+            os.replace(f"{path}.{context.taskAttemptId()}", path)
+            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([table.num_rows], pa.int64())], ["path", "points"])
+
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= rows:
+                yield flush()
+                held, n, files = [], 0, files + 1
+        if n:
+            yield flush()
+
+    kinds = dict.fromkeys(names[:3], "double") | dict.fromkeys(names[3:], "int")
+    done = points.select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()]).mapInArrow(write, "path string, points long").collect()
+    return points.sparkSession.createDataFrame(done, "path string, points long")

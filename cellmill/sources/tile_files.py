@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import glob
+import os
 import struct
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cellmill.functions.grid import GridSpec
 
 #: Fixed values of the format: magic, version, and the reductions' codes in order.
 MAGIC, VERSION = 0x54524350, 1
@@ -58,8 +65,44 @@ def read_tile(path: str) -> tuple[TileHeader, np.ndarray]:
 
 
 def tile_rows(spark: SparkSession, path: str, tile_width: int, tile_height: int, names: list[str]) -> DataFrame:
-    """A tile as rows of global row, col and one column per state."""
-    head, states = read_tile(path)
-    r, c = np.indices((head.rows, head.cols), np.int32)
-    table = {"row": (r + head.tile_row * tile_height).ravel(), "col": (c + head.tile_col * tile_width).ravel()}
-    return spark.createDataFrame(pa.table(table | {n: s.astype(np.float64).ravel() for n, s in zip(names, states, strict=True)}))
+    """A tile, or all tiles of a folder, as rows of global row, col and one column per state; each task reads some files.
+    All executors must see the path."""
+    plain = path.removeprefix("file://")
+    files = sorted(glob.glob(f"{plain}/*.tile")) if os.path.isdir(plain) else [plain]
+    for f in files[:1]:
+        if read_tile_header(f).states != len(names):
+            raise ValueError(f"{f}: the tile has other states than {names}")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for f in batch.column(0).to_pylist():
+                head, states = read_tile(f)
+                r, c = np.indices((head.rows, head.cols), np.int32)
+                columns = [(r + head.tile_row * tile_height).ravel(), (c + head.tile_col * tile_width).ravel()]
+                columns += [s.astype(np.float64).ravel() for s in states]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["row", "col", *names])
+
+    listed = spark.createDataFrame([(f,) for f in files], "path string").repartition(max(1, min(len(files), 4096)))
+    return listed.mapInArrow(read, "row int, col int" + "".join(f", `{n}` double" for n in names))
+
+
+def write_tiles(states: DataFrame, grid: GridSpec, folder: str, kind: str, names: list[str]) -> DataFrame:
+    """Every tile that has states as a file; path of each.  Cells without a state hold NaN.  All executors must see the folder."""
+    plain = folder.removeprefix("file://").rstrip("/")
+    placed = states.select(grid.tile_row().alias("_tr"), grid.tile_col().alias("_tc"), "row", "col", *[F.col(f"`{n}`").cast("double").alias(n) for n in names])
+
+    def save(t: pa.Table) -> pa.Table:
+        tr, tc = t.column("_tr")[0].as_py(), t.column("_tc")[0].as_py()
+        top, left, rows, cols = grid.tile_cells(tr, tc)
+        values = np.full((len(names), rows, cols), np.nan, "<f4")
+        for k, n in enumerate(names):
+            values[k, t.column("row").to_numpy() - top, t.column("col").to_numpy() - left] = t.column(n).to_numpy()
+        os.makedirs(plain, exist_ok=True)
+        path = tile_file(plain, tr, tc)
+        partial = f"{path}.{uuid.uuid4().hex}"
+        write_tile(partial, TileHeader(tr, tc, cols, rows, len(names), kind), values)
+        os.replace(partial, path)
+        return pa.table({"path": [path]})
+
+    done = placed.groupBy("_tr", "_tc").applyInArrow(save, "path string").collect()
+    return states.sparkSession.createDataFrame(done, "path string")

@@ -121,6 +121,11 @@ class StateStore:
         found = sorted(int(x.split("=")[1]) for x in names if x.startswith("batch_id="))
         return [-n] * (n > 0) + [b for b in found if b >= 0 and not _within(b, merged)]
 
+    def next_batch(self) -> int:
+        """A number after all that the store has or its base took."""
+        _, merged = self._base(self._names())
+        return max([-1, *self.batches(), *(b for _, b in merged)]) + 1
+
     def rows(self, tile: tuple[int, int] | None = None) -> DataFrame:
         """Stored states as they are; of one tile, only its folders are read."""
         found = self.batches()
