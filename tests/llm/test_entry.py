@@ -16,8 +16,10 @@ def test_registered():
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in names if n.startswith("op")} == set(range(1, 11)) and "pipeline" in names
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
 @pytest.mark.parametrize("name", queries.ORACLE_SQL)
-def test_oracle(spark, sf, name):
+def test_oracle(spark, sf, name, size):
+    sf = sf.replace("sf0.001", size)
     c = duckdb.connect()
     for t in ("documents", "pages"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
