@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellmill.llm.common import text_of
@@ -24,7 +24,8 @@ SPACE = 0x20
 
 @dataclass(frozen=True)
 class LangParams:
-    """per_language bounds the training sample: so many documents of each language at most, one segment of each."""
+    """per_language bounds the training sample: so many documents of each language at most, and of each a stretch of
+    ``segment`` characters, which make up to four segments of as many bytes."""
 
     hidden: int = 8
     segment: int = 64
@@ -169,28 +170,34 @@ def _held_out(id_col: str):
 def train_langid(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", params: LangParams = LangParams()) -> BiGRU | None:
     """Learns from rows that are not held out and have a language and a letter.  None if there are none.
 
-    The sample is chosen by a hash of the id at a rate per language, so that no language is gathered anywhere; at most
-    params.per_language segments of each language come to the driver.
+    The sample is drawn by a hash of id and text at a rate per language, and of what is drawn the params.per_language least
+    hashes of each language come to the driver, so that rows that share their hash are no more; the least of a language
+    always comes.  Each text gives a stretch that starts anywhere in it.
     """
     t = params.segment
     rows = df.where(~_held_out(id_col) & F.col(lang_col).isNotNull() & text_of(df, text_col).rlike(r"\p{L}")).select(
-        F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.length(text_of(df, text_col))).alias("h"), text_of(df, text_col).alias("text")
+        F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), text_of(df, text_col)).alias("h"), text_of(df, text_col).alias("text")
     )
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    begin = F.pmod(F.shiftright("h", 20), F.greatest(F.length("text") - t, F.lit(1))).cast("int")
+    rows = rows.select("lang", "h", F.substring("text", begin + 1, F.lit(t)).alias("text"))
+    firsts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("h", "text")).alias("least")).collect()
+    counts = {r["lang"]: r["n"] for r in firsts}
     if not counts:
         return None
     draw = F.pmod(F.col("h"), F.lit(1 << 20)) / float(1 << 20)
     rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.2 * params.per_language / n))])
-    begin = F.pmod(F.shiftright("h", 20), F.greatest(F.length("text") - t, F.lit(1))).cast("int")
-    sample = rows.where(draw <= F.element_at(rate, F.col("lang"))).select("lang", "h", F.substring("text", begin + 1, F.lit(t)).alias("text")).collect()
-    langs, taken = sorted(counts), dict.fromkeys(counts, 0)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    drawn = rows.where(draw <= F.element_at(rate, F.col("lang"))).withColumn("_rank", rank).where(F.col("_rank") <= params.per_language)
+    sample = [(r["lang"], r["h"], r["text"]) for r in drawn.collect()]
+    met = {x[0] for x in sample}
+    sample += [(r["lang"], *r["least"]) for r in firsts if r["lang"] not in met]
+    langs = sorted(counts)
     segments, labels = [], []
-    for r in sorted(sample, key=lambda r: (r["h"], r["text"])):
-        if taken[r["lang"]] < params.per_language:
-            taken[r["lang"]] += 1
-            raw = r["text"].encode("utf-8", "replace")[:t]
-            segments.append(np.frombuffer(raw.ljust(t, b" "), np.uint8))
-            labels.append(langs.index(r["lang"]))
+    for lang, _, text in sorted(sample):
+        raw = text.encode("utf-8", "replace")
+        for at in range(0, len(raw), t):
+            segments.append(np.frombuffer(raw[at : at + t].ljust(t, b" "), np.uint8))
+            labels.append(langs.index(lang))
     model = BiGRU(langs, params.hidden, params.seed)
     model.fit(np.stack(segments), np.array(labels), params)
     return model
@@ -203,7 +210,8 @@ def predict_lang(
     runs of equally labelled UTF-8 byte positions.
 
     Texts that are null or have no letter are ``und`` with score 0, and so is everything without a model.  Only the text
-    decides; ids may be null or repeat.
+    decides; ids may be null or repeat; an empty table gives an empty result.  A text of any length is read whole, 2048
+    segments at a time.
     """
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double" + ", runs array<struct<start: int, end: int, lang: string>>" * runs

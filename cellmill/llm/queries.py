@@ -85,7 +85,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cellmill.llm.langid import predict_lang, train_langid
 
     docs = table(spark, sf_dir, "documents")
-    return predict_lang(docs, train_langid(docs))
+    found = predict_lang(docs, train_langid(docs), runs=True)
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.size("runs").cast("long").alias("n_runs"))
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_quality_rules, op4_license_scan, op5_minhash, op6_bpe_roundtrip, op7_token_files, op8_repeated_bytes, op9_best_fit_packing, op10_language_id)}

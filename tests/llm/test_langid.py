@@ -51,3 +51,53 @@ def test_odd_rows(spark):
     assert predict_lang(df.where("false"), None).count() == 0
     assert train_langid(df.where("lang is null")) is None
     assert {r.lang_pred for r in predict_lang(df, None).collect()} == {"und"}
+
+
+def test_prediction_by_plain_loops(spark, sf):
+    """Each document byte by byte, segment by segment, with scalar gates."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    params = LangParams(epochs=2, per_language=40)
+    model = train_langid(docs, params=params)
+    got = {r.doc_id: r for r in predict_lang(docs, model, params=params, runs=True).collect()}
+    w = {k: v.astype(np.float64) for k, v in model.w.items()}
+    k = model.hidden
+    logistic = lambda v: 1 / (1 + np.exp(-v))
+
+    def way(d, segment):
+        h, out = np.zeros(k), []
+        for byte in segment:
+            x, u = w["x"][d, byte] + w["b"][d, 0], h @ w["h"][d]
+            z, r = logistic(x[:k] + u[:k]), logistic(x[k : 2 * k] + u[k : 2 * k])
+            c = np.tanh(x[2 * k :] + r * u[2 * k :])
+            h = z * h + (1 - z) * c
+            out.append(h)
+        return out
+
+    for r in docs.where("length(text) < 900").limit(40).collect():
+        raw = (r.text or "").encode()
+        if not any(map(str.isalpha, r.text or "")):
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        total, marks = np.zeros(len(model.langs)), []
+        for at in range(0, len(raw), params.segment):
+            part = raw[at : at + params.segment]
+            padded = part.ljust(params.segment, b" ")
+            for f, b in list(zip(way(0, padded), way(1, padded[::-1])[::-1], strict=True))[: len(part)]:
+                e = np.exp(np.concatenate([f, b]) @ w["o"] + w["c"])
+                total += e / e.sum()
+                marks.append(model.langs[int(e.argmax())])
+        assert got[r.doc_id].score == pytest.approx((total / len(raw)).max(), abs=1e-4)
+        assert got[r.doc_id].lang_pred == model.langs[int(total.argmax())]
+        labelled = [x.lang for x in got[r.doc_id].runs for _ in range(x.end - x.start)]
+        assert len(labelled) == len(raw) and np.mean([a == b for a, b in zip(labelled, marks, strict=True)]) > 0.99
+
+
+def test_sample_is_bounded_when_rows_share_ids(spark, monkeypatch):
+    """Null ids, one length, one text in half of the rows: no more than the bound comes, and every language does."""
+    seen = {}
+    own = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 4 != 2)
+    monkeypatch.setattr(BiGRU, "fit", lambda self, segments, labels, params: seen.update(n=np.bincount(labels, minlength=len(self.langs)), segments=segments))
+    rows = [(None, "the same text of all rows of it", "en")] * 900 + [(None, f"den text {i:04d} gibt es so nicht", "de") for i in range(900)] + [(own, "漢字" * 200, "zh")]
+    train_langid(spark.createDataFrame(rows, "doc_id long, text string, lang string"), params=LangParams(per_language=50))
+    de, en, zh = seen["n"]
+    assert 20 <= de <= 50 and 1 <= en <= 50 and zh == 3  # 64 characters of three bytes each
