@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,12 +85,6 @@ def open_shared(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-def pieces(df: DataFrame, text_col: str, mb: float, least: int = 1) -> int:
-    """How many groups of about ``mb`` MB the UTF-8 bytes of a column make.  One scan of that column."""
-    total = df.agg(F.sum(F.octet_length(F.col(text_col))).alias("n")).first()["n"] or 0
-    return max(least, int(total / (mb * 1e6)) + 1)
-
-
 def slots(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -100,9 +92,3 @@ def slots(spark: SparkSession) -> int:
 def text_of(df: DataFrame, text_col: str):
     """Null counts as empty."""
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-
-
-def batches(rows: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[pa.Array]]:
-    for batch in rows:
-        if batch.num_rows:
-            yield [batch.column(c) for c in columns]

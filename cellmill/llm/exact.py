@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from cellmill.llm.common import text_of
 
 
-
-
 def _hash():
     return F.unhex(F.md5("_text")).alias("_hash")
 

@@ -29,7 +29,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellmill.llm.bpe import codec
-from cellmill.llm.bpe_table import lists
 from cellmill.llm.common import text_of, written
 from cellmill.llm.splits import spread
 
@@ -230,8 +229,8 @@ def token_pieces(
     added: bool = True,
     ids: bool = False,
 ) -> DataFrame:
-    """The pieces of each document: id_col, piece, start, length, ids_crc32, with ids also ids array<int>, and the place of
-    the row in its task (_part, _rank among the task's pieces of this length).
+    """The pieces of each document: id_col, piece, start, length, ids_crc32, with ids also ids (binary: each a
+    little-endian unsigned 32-bit integer), and the place of the row in its task (_part, _rank among the task's pieces of this length).
 
     A document that is longer than the capacity is cut from its end, so that all pieces but the first are full.  added:
     strings of the vocabulary's added tokens become their ids.  Null text counts as empty: the end id alone.  Ids may be
@@ -261,11 +260,11 @@ def token_pieces(
                 raw = memoryview(flat.astype("<u4", copy=False).tobytes())
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
                 columns = [some.column(0).take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), pa.array(start), pa.array(length)]
-                columns += [pa.array(crc, pa.int64()), *([lists(flat, np.append(begin, len(flat)))] if ids else [])]
+                columns += [pa.array(crc, pa.int64()), *([pa.array([raw[4 * a : 4 * b] for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)], pa.binary())] if ids else [])]
                 columns += [pa.array(np.full(len(row), part, np.int32)), pa.array(rank)]
                 yield pa.RecordBatch.from_arrays(columns, [id_col, "piece", "start", "length", "ids_crc32", *["ids"] * ids, "_part", "_rank"])
 
-    schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long," + " ids array<int>," * ids + " _part int, _rank long"
+    schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long," + " ids binary," * ids + " _part int, _rank long"
     return df.select(F.col(id_col), text_of(df, text_col).alias("_text")).mapInArrow(cut, schema)
 
 
@@ -295,7 +294,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, tries: int = 200) -> DataFrame
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """sequence_id, ids array<int> of each sequence: the ids of its pieces in the order of their places.  packed must have
-    the column ids (see token_pieces).  A sequence is at most the capacity long, whatever the corpus."""
+    """sequence_id, ids (binary) of each sequence: the ids of its pieces in the order of their places.  packed must have the
+    column ids (see token_pieces).  A sequence is at most the capacity long, whatever the corpus."""
     pieces = F.array_sort(F.collect_list(F.struct("offset", "ids")))
-    return packed.groupBy("sequence_id").agg(F.flatten(F.transform(pieces, lambda x: x["ids"])).alias("ids"))
+    return packed.groupBy("sequence_id").agg(F.aggregate(pieces, F.lit(b""), lambda all_, x: F.concat(all_, x["ids"])).alias("ids"))

@@ -52,7 +52,7 @@ def test_each_stage_against_brute_force(spark, sf):
         total += len(ids)
         own = sorted((x for x in out["packing"] if x.doc_id == i), key=lambda x: x.piece)
         assert [zlib.crc32(ids[x.start : x.start + x.length].tobytes()) for x in own] == [x.ids_crc32 for x in own]
-        assert sum(x.length for x in own) == len(ids)
+        assert sum(x.length for x in own) == len(ids) and b"".join(bytes(x.ids) for x in own) == ids.tobytes()
     assert len({x.sequence_id for x in out["packing"]}) <= -(-total // 2048) + 1
 
 

@@ -273,9 +273,9 @@ def test_packing(spark, sf, odd, library, ordinary):
     packed = pack(token_pieces(odd, JSON, P.PATTERN, 64, ids=True), 64)
     rows = packed.collect()
     check_packed(rows, named, library, 64)
-    assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
-    whole = {r.sequence_id: r.ids for r in sequences(packed).collect()}
-    assert whole == {i: [x for r in sorted((r for r in rows if r.sequence_id == i), key=lambda r: r.offset) for x in r.ids] for i in whole}
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in rows)
+    whole = {r.sequence_id: bytes(r.ids) for r in sequences(packed).collect()}
+    assert whole == {i: b"".join(bytes(r.ids) for r in sorted((r for r in rows if r.sequence_id == i), key=lambda r: r.offset)) for i in whole}
     ordinary_ = pack(token_pieces(odd, JSON, P.PATTERN, 64, added=False), 64)
     check_packed(ordinary_.collect(), named, ordinary, 64)
     assert pack(token_pieces(odd.where("false"), JSON, P.PATTERN)).count() == 0
