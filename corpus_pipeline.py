@@ -47,10 +47,10 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' tokens in as few sequences as the search finds."""
+    """The documents' tokens, in as few sequences as the search finds: a row for each piece with its ids and its place."""
     import public_tokenizers
 
-    return pack(token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, CAPACITY, end_id=0, added=False), CAPACITY)
+    return pack(token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, CAPACITY, end_id=0, added=False, ids=True), CAPACITY)
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("repeats", repeats), ("packing", packing)]
