@@ -141,7 +141,7 @@ class BiGRU:
     def documents(self, raws: list[bytes], segment: int, labels: bool = False, at_once: int = 2048) -> list[tuple[np.ndarray, np.ndarray | None]]:
         """(pooled distribution, label of each byte) of each non-empty byte string, whatever its length."""
         sums = np.zeros((len(raws), len(self.langs)))
-        marks = [np.empty(len(x), np.int16) for x in raws] if labels else None
+        marks: list[np.ndarray] = []
         pending: list[tuple[int, int]] = [(i, at) for i, x in enumerate(raws) for at in range(0, len(x), segment)]
         for first in range(0, len(pending), at_once):
             some = pending[first : first + at_once]
@@ -155,11 +155,10 @@ class BiGRU:
             for k in np.flatnonzero(sizes < segment):
                 p[k, sizes[k] :] = 0
             np.add.at(sums, [i for i, _ in some], p.sum(1))
-            if marks:
-                best = p.argmax(-1)
-                for k, (i, at) in enumerate(some):
-                    marks[i][at : at + sizes[k]] = best[k, : sizes[k]]
-        return [(s / len(x), marks[i] if marks else None) for i, (s, x) in enumerate(zip(sums, raws, strict=True))]
+            if labels:  # segments follow each other as the bytes do
+                marks.append(p.argmax(-1).astype(np.int16)[np.arange(segment) < sizes[:, None]])
+        own = np.split(np.concatenate(marks), np.cumsum([len(x) for x in raws])[:-1]) if marks else [None] * len(raws)
+        return [(s / len(x), m) for s, x, m in zip(sums, raws, own, strict=True)]
 
 
 def _held_out(id_col: str):
@@ -230,11 +229,14 @@ def predict_lang(
                     names.append("und" if p is None else model.langs[int(p.argmax())])
                     scores.append(0.0 if p is None else min(1.0, float(p.max())))
                     if runs:
-                        edges = [] if marks is None else [0, *(np.flatnonzero(np.diff(marks)) + 1).tolist(), len(marks)]
-                        spans.append([{"start": a, "end": b, "lang": model.langs[marks[a]]} for a, b in zip(edges, edges[1:], strict=False)])
+                        first = np.zeros(0, np.int64) if marks is None else np.concatenate([[0], np.flatnonzero(marks[1:] != marks[:-1]) + 1])
+                        spans.append((first, np.append(first[1:], len(marks)), marks[first]) if marks is not None else (first, first, first))
                 out = [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())]
                 if runs:
-                    out.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
+                    start, end, mark = (np.concatenate(x).astype(np.int32) for x in zip(*spans, strict=True))
+                    named = pa.array(model.langs if model else [], pa.string()).take(pa.array(mark))
+                    flat = pa.StructArray.from_arrays([pa.array(start), pa.array(end), named], ["start", "end", "lang"])
+                    out.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x[0]) for x in spans]), pa.int32()), flat))
                 yield pa.RecordBatch.from_arrays(out, [id_col, "held_out", "lang_pred", "score", *["runs"] * runs])
 
     return df.select(F.col(id_col), _held_out(id_col).alias("_held"), text_of(df, text_col).alias("_text")).mapInArrow(predict, schema)
