@@ -248,7 +248,8 @@ def deal(points: DataFrame, grid: GridSpec, x: str, y: str) -> tuple[DataFrame,
     if size > tasks * 24 * grid.height * grid.width:
         return points, False
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return points.repartitionByRange(parts, grid.cell_id(grid.row(y), grid.col(x)), F.xxhash64(*points.columns)), True
+    every = [F.col(f"`{c}`") for c in points.columns]
+    return points.repartitionByRange(parts, grid.cell_id(grid.row(y), grid.col(x)), F.xxhash64(*every)), True
 
 
 def splat_sums(points: DataFrame, grid: GridSpec, glyph: GlyphSpec, values: list[str], x: str, y: str, dealt: bool = False) -> DataFrame:
