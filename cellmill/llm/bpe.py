@@ -119,6 +119,7 @@ class Codec:
         """The place in the table of known splits of each short split."""
         if self.known.n > KNOWN:
             self.known.forget()
+        self.known.room(len(begin))
         k = keys(raw, begin, size)
         slot = self.known.find(k)
         self.known.met[slot[slot >= 0]] = True

@@ -203,6 +203,14 @@ class Table:
         count = self.count[slot].astype(np.int64)
         return self.pool[spread(self.at[slot], count)], count
 
+    def room(self, more: int) -> None:
+        """Sees to it that so many keys more leave a tenth of the slots free."""
+        if (self.n + more) * 10 > 9 << self.bits:
+            self.forget()
+        while (self.n + more) * 10 > 9 << self.bits:
+            self.bits += 1
+            self.clear()
+
     def forget(self) -> None:
         """Keeps only keys that were met again since they were put or kept."""
         kept = np.flatnonzero(self.met)

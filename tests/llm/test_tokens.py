@@ -103,8 +103,14 @@ def test_table_keeps_what_was_met_again():
     t.met[slot[:30]] = True
     t.forget()
     assert t.n == 30 and (t.find(k[30:]) < 0).all()
+    t.room(150)
+    assert t.bits == 8 and t.n == 30
     got, count = t.gather(t.find(k[:30]))
     assert (got == values[: ends[29]]).all() and (np.cumsum(count) == ends[:30]).all()
+    t.room(1000)
+    assert t.bits == 11 and t.n == 0
+    more = np.unique(r.integers(1, 1 << 60, (1000, 2)).astype(np.uint64), axis=0)
+    assert (t.find(more) < 0).all() and len(set(t.put(more, values[:0], np.zeros(len(more), np.int64)).tolist())) == len(more)
 
 
 def test_encode_offsets_and_decode(spark, odd, ranks):
