@@ -66,17 +66,20 @@ def raster_stats(raster: DataFrame, band: str, cells: int | None = None, accurac
     )
 
 
-def raster_diff(left: DataFrame, right: DataFrame, band: str, other: str | None = None, tolerance: float = 1e-4) -> DataFrame:
+def raster_diff(left: DataFrame, right: DataFrame, band: str, other: str | None = None, tolerance: float = 1e-4, rounding: float = 0.0) -> DataFrame:
     """compared, max_diff, mean_diff, above_tolerance, only_left, only_right and passed.
 
     It passes if the same cells have values and none differs by more than the tolerance.  Rasters may be sparse.
+    rounding: relative error that the values may have from the order of their points; it is added to the tolerance, so that
+    a difference of just the tolerance is never above it.
     """
     known = lambda df, b, name: df.select(*KEYS, F.col(f"`{b}`").cast("double").alias(name)).where(~F.isnan(name))
     both = known(left, band, "a").join(known(right, other or band, "b"), KEYS, "full_outer")
     d = F.abs(F.col("a") - F.col("b"))
+    most = tolerance + rounding * (F.least(F.abs("a"), F.abs("b")) + tolerance) if rounding else F.lit(tolerance)
     out = both.agg(
         F.count(d).alias("compared"), F.coalesce(F.max(d), F.lit(0.0)).alias("max_diff"), F.coalesce(F.avg(d), F.lit(0.0)).alias("mean_diff"),
-        F.count(F.when(d > tolerance, 1)).alias("above_tolerance"), F.count(F.when(F.col("b").isNull(), 1)).alias("only_left"), F.count(F.when(F.col("a").isNull(), 1)).alias("only_right"),
+        F.count(F.when(d > most, 1)).alias("above_tolerance"), F.count(F.when(F.col("b").isNull(), 1)).alias("only_left"), F.count(F.when(F.col("a").isNull(), 1)).alias("only_right"),
     )
     return out.withColumn("passed", (F.col("above_tolerance") == 0) & (F.col("only_left") == 0) & (F.col("only_right") == 0))
 

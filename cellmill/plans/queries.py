@@ -19,6 +19,8 @@ LINEITEM = GridSpec.of(0, 0, 105000, 51, 1000, -1, 32, 16)
 EVENTS = GridSpec.of(0, 0, 720, 150, 6, -10, 40, 5)
 #: Finer than EVENTS and wider than the table: holds empty cells and empty tiles when all events are reduced.
 WIDE = GridSpec.of(-240, -50, 960, 200, 2, -2, 40, 5)
+#: Relative error of averages that the order of their points may make: some 1e-16 times the root of their number.
+ROUNDING = 1e-12
 VECTORS = GridSpec.of(-0.5, -0.5, 0.5, 0.5, 0.05, -0.05, 10, 10)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -320,7 +322,7 @@ def raster_diff(spark, sf_dir):
     cloud = events(spark, sf_dir)
     grid = covered(cloud, EVENTS)
     halves = [reduce_points(cloud.where(F.col("event_id") % k == 0), grid, mean) for k in (2, 3)]
-    return _round(R.raster_diff(*halves, "v", tolerance=1.0), "max_diff", "mean_diff")
+    return _round(R.raster_diff(*halves, "v", tolerance=1.0, rounding=ROUNDING), "max_diff", "mean_diff")
 
 
 @query(f"""{LINE}, s AS (SELECT "row", col, avg(value) AS v FROM c GROUP BY 1, 2) SELECT CAST("row" // 4 AS INTEGER) AS "row", CAST(col // 4 AS INTEGER) AS col, round(avg(v), 6) AS v FROM s GROUP BY 1, 2""")
@@ -356,7 +358,7 @@ def raster_diff_all(spark, sf_dir):
     cloud = events(spark, sf_dir)
     grid = covered(cloud, EVENTS)
     both = [reduce_points(cloud, grid, [Reduction("value", kind, band="v")]) for kind in ("average", "median")]
-    return _round(R.raster_diff(*both, "v", tolerance=1.0), "max_diff", "mean_diff")
+    return _round(R.raster_diff(*both, "v", tolerance=1.0, rounding=ROUNDING), "max_diff", "mean_diff")
 
 
 @query(f"""WITH {P_EVENT}, {_covered(WIDE)}, s AS (SELECT "row", col, max(value) AS v FROM c GROUP BY 1, 2)
