@@ -47,3 +47,25 @@ def test_sql_as_it_is_where_no_event_lies_outside(spark, tmp_path):
         c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
         for name in NAMES:
             assert differing(QUERIES[name](spark, str(tmp_path)).toPandas(), c.sql(ORACLE_SQL[name]).df()) == 0, name
+
+
+CELLWISE = ["dense_sum_touched"]
+
+
+@pytest.mark.parametrize("name", CELLWISE)
+def test_cells_inside_the_bounds(spark, name):
+    """Over the whole table, with the SQL as it is: the same cells and values there, with rows counted from the new corner."""
+    got, above = QUERIES[name](spark, LARGE).toPandas(), 150 - EVENTS.height
+    inside = got[got["row"] >= above]
+    with duckdb.connect() as c:
+        c.sql(f"CREATE VIEW events AS SELECT * FROM '{LARGE}/events.parquet'")
+        assert differing(inside.assign(row=inside["row"] - above), c.sql(ORACLE_SQL[name]).df()) == 0
+
+
+def test_sums_lose_no_event_to_the_bounds(spark):
+    """The filter of dense_sum_touched leaves no event outside them, so the cells beyond are empty."""
+    part, inside = duckdb.sql(f"""WITH p AS (SELECT (epoch_us(ts) - 1704067200000000) / 3600000000.0 AS x, user_id + 0.5 AS y FROM '{LARGE}/events.parquet')
+        SELECT count(*), count(*) FILTER (x BETWEEN 0 AND 720 AND y BETWEEN 0 AND 150) FROM p WHERE x < 200 AND y < 60""").fetchall()[0]
+    assert part == inside == 1111
+    got = QUERIES["dense_sum_touched"](spark, LARGE).toPandas()
+    assert got[got["row"] < 150 - EVENTS.height]["v"].isna().sum() == len(got) - EVENTS.width * EVENTS.height == 16200
