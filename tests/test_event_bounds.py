@@ -49,7 +49,7 @@ def test_sql_as_it_is_where_no_event_lies_outside(spark, tmp_path):
             assert differing(QUERIES[name](spark, str(tmp_path)).toPandas(), c.sql(ORACLE_SQL[name]).df()) == 0, name
 
 
-CELLWISE = ["dense_sum_touched", "event_most_recent", "valid_mask"]
+CELLWISE = ["dense_sum_touched", "event_most_recent", "valid_mask", "event_avg"]
 
 
 @pytest.mark.parametrize("name", CELLWISE)
